@@ -1,8 +1,8 @@
 """Registered queries and the SQL each one is checked against."""
 
-from feedloom.catalog import data, recall
+from feedloom.catalog import data, ranking, recall
 
-_MODULES = (data, recall)
+_MODULES = (data, recall, ranking)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
