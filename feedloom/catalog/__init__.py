@@ -1,8 +1,8 @@
 """Registered queries and the SQL each one is checked against."""
 
-from feedloom.catalog import data, experiment, ranking, recall
+from feedloom.catalog import data, experiment, ranking, recall, serving
 
-_MODULES = (data, recall, ranking, experiment)
+_MODULES = (data, recall, ranking, experiment, serving)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
