@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.session import stage_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_DATA_KEY = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -41,13 +42,20 @@ def run_available(stream: DataFrame, label: str, mode: str = "update", sink=None
     """Process what is there now and return everything the sink wrote."""
     spark = stream.sparkSession
     out = stage_path(spark, label)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(sink(out) if sink else batch_folders(out))
-        .option("checkpointLocation", f"{out}-progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    # Processing-time state asks for another, empty batch after every batch; a run
+    # over the data at hand must not follow that for ever.
+    before = spark.conf.get(NO_DATA_KEY)
+    spark.conf.set(NO_DATA_KEY, "false")
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(sink(out) if sink else batch_folders(out))
+            .option("checkpointLocation", f"{out}-progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(NO_DATA_KEY, before)
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
