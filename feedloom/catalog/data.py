@@ -92,7 +92,7 @@ def popular(kind):
 
 def popular_lists(kind):
     def run(spark, sf):
-        x = kind(spark, sf)
+        x = kind(spark, sf).staged()
         out = popular_candidates(x.test.select("user_id"), popular_items(x.train), 300, x.train)
         return rounded(out, "source_score", digits=4)
 

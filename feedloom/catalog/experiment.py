@@ -64,7 +64,7 @@ def policy_cf(spark, sf):
 
 
 def policy_embedding(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     prof = stage(recency_profiles(positive_sequences(x.train), x.item_vectors), "profiles")
     return rounded(embedding_policy(_users(x), prof, x.item_vectors, x.sequences, 20, CELLS).select(*LIST), "score", digits=4)
 
@@ -85,12 +85,12 @@ def policy_full(spark, sf):
 
 
 def policy_without_rerank(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return rounded(full_policy(_stages(x, rerank=False), 50, with_rerank=False).select(*LIST), "score", digits=4)
 
 
 def per_user(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     out = user_metrics(_popular(x), _users(x), ground_truth(x.test), x.items).drop("score_sum", "score_n")
     return rounded(out, *[c for c in out.columns if c != "user_id"], digits=5)
 
@@ -104,14 +104,14 @@ def _arms(x):
 
 
 def comparison(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     g, lists = _arms(x)
     m = group_metrics(lists, g, ground_truth(x.test), x.items, impressions(x.test), RULES.topk)
     return rounded(lift_table(m), "control", "treatment", "relative_lift", digits=4)
 
 
 def intervals(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     g, lists = _arms(x)
     values = primary_values(user_metrics(lists, g, ground_truth(x.test), x.items), g, "recall@50")
     out = bootstrap(stage(values, "values"), RULES)
@@ -130,22 +130,22 @@ def segments_user(spark, sf):
 
 
 def segments_item(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return C.item_segments(x.items, x.train, COLD)
 
 
 def sizes_user(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return C.user_segment_sizes(_segments(x), impressions(x.test), COLD)
 
 
 def sizes_item(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return C.item_segment_sizes(C.item_segments(x.items, x.train, COLD), COLD)
 
 
 def tags_recent(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return C.recent_tags(x.train, x.sequences, x.items, COLD)
 
 
@@ -176,7 +176,7 @@ def fused(spark, sf):
 
 
 def lift_by_segment(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     base, _, seg, _, enhanced = _fused(x)
     t, n = stage(ground_truth(x.test), "truth"), impressions(x.test)
     b = C.segment_metrics(base, seg, t, x.items, n, COLD)
@@ -186,20 +186,20 @@ def lift_by_segment(spark, sf):
 
 
 def metrics_by_segment(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     out = C.segment_metrics(_popular(x), _segments(x), ground_truth(x.test), x.items, impressions(x.test), COLD)
     return rounded(out, "value", digits=4)
 
 
 def item_segment_report(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     items = C.item_segments(x.items, x.train, COLD)
     out = C.item_segment_metrics(_popular(x), items, ground_truth(x.test), COLD)
     return rounded(out, "hit_rate", "share_of_recommendations", "share_of_hits")
 
 
 def usage(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return C.enhancement_usage(_segments(x), _category(x), COLD)
 
 

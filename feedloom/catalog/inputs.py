@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.labels import split_by_date
 from feedloom.operators.sequences import user_sequences
+from feedloom.session import stage
 from feedloom.sources import adapters as A
 
 
@@ -29,6 +30,11 @@ class Inputs:
     def interactions(self) -> DataFrame:
         return (A.orders_interactions if self.kind == "orders" else A.events_interactions)(self.spark, self.sf_dir)
 
+    def staged(self) -> "Inputs":
+        """Write the interactions once, for queries that read them several times."""
+        self.interactions = stage(self.interactions, f"interactions-{self.kind}")
+        return self
+
     @cached_property
     def splits(self) -> dict[str, DataFrame]:
         return split_by_date(self.interactions, A.ORDER_SPLIT if self.kind == "orders" else A.EVENT_SPLIT)

@@ -62,12 +62,12 @@ def labels_by_task(spark, sf):
 
 
 def counts_author(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return history_counts(x.train, x.items, "author_id")
 
 
 def counts_tag(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return history_counts(x.train, x.items, "tag")
 
 
@@ -88,7 +88,7 @@ def _coarse(x, cand, split):
 
 
 def coarse_features(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     out = _coarse(x, merged_orders(x), "test").select(*COARSE)
     return rounded(out, "merged_score", "source_rank", "merged_rank", "popular_score", "popular_rank", "source_count", "user_train_positive_rate",
                    "item_train_positive_rate", "freshness_days", digits=4)
@@ -103,13 +103,13 @@ def _fine(x, cand, split):
 
 
 def fine_features(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     cut = coarse_topk(degraded_scores(merged_orders(x)), 100)
     return rounded(_fine(x, cut, "test").select(*FINE), "history_len", "hist_same_author_count", "hist_same_tag_count", "freshness_days")
 
 
 def source_columns(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     base = merged_orders(x).drop("source_count")
     out = source_features(base, FeatureRules())
     cols = ["popular_rank", "itemcf_rank", "twotower_rank", "has_popular", "has_itemcf", "has_twotower", "source_count"]
@@ -118,7 +118,7 @@ def source_columns(spark, sf):
 
 def column_lists(spark, sf):
     """The ordered feature columns both stages pick from their frames."""
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     cand = popular_candidates(x.test.select("user_id"), popular_items(x.train), 300, x.train)
     coarse, fine = _coarse(x, cand, "test"), _fine(x, cand, "test")
     rows = [(s, k, i, c) for s, (cat, nums) in (("coarse", coarse_columns(coarse, ORDER_FEATURES)), ("fine", fine_columns(fine, ORDER_FEATURES)))
@@ -130,7 +130,7 @@ def column_lists(spark, sf):
 
 
 def codes(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     author = stage(fit_codes(x.items, "author_id"), "author-codes")
     tag = stage(fit_codes(x.train, "tag"), "tag-codes")
     out = encode(encode(x.items.select("video_id", "author_id", "tag"), "author_id", author, "author_idx"), "tag", tag, "tag_idx")
@@ -142,7 +142,7 @@ def item_codes(spark, sf):
 
 
 def scaled(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     s = stage(user_stats(x.train), "user-stats")
     cols = ["user_train_exposure_count", "user_train_positive_count", "user_train_positive_rate"]
     out = zscore(s, numeric_profile(s, cols), cols)
@@ -150,7 +150,7 @@ def scaled(spark, sf):
 
 
 def histories(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     cand = popular_candidates(x.train.select("user_id"), popular_items(x.train), 300, None, False)
     c = fit_codes(x.train, "video_id")
     out = target_histories(cand, x.train, c)
@@ -158,7 +158,7 @@ def histories(spark, sf):
 
 
 def tower(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     uc, ic = fit_codes(x.train, "user_id"), fit_codes(x.train, "video_id")
     out = tower_inputs(x.test.select("user_id"), x.sequences, uc, ic)
     return out.select("user_id", "user_idx", F.array_join(F.transform("seq_item_idx", lambda v: v.cast("string")), ",").alias("seq_item_idx"))
@@ -166,7 +166,7 @@ def tower(spark, sf):
 
 def sampled(split, rules):
     def run(spark, sf):
-        x = orders(spark, sf)
+        x = orders(spark, sf).staged()
         out = sample_negatives(merged_orders(x), split, rules)
         return out.select("user_id", "video_id", "label")
 
@@ -195,12 +195,12 @@ def coarse_cut(x):
 
 
 def cut_lists(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return rounded(coarse_cut(x).select("user_id", "video_id", "coarse_score", "coarse_rank", "label"), "coarse_score", digits=4)
 
 
 def cut_metrics(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     m = merged_orders(x)
     return rounded(coarse_metrics(m, stage(coarse_topk(degraded_scores(m), 100), "cut")), "value", digits=5)
 
@@ -223,7 +223,7 @@ def fine_metrics(spark, sf):
 
 def auc_ties(spark, sf):
     """AUC and log-loss over every exposure, with heavily tied scores."""
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     d = x.interactions.select("long_watch", "like", (F.col("play_time_ms") / 50001.0).alias("p"), (F.col("author_id") / 26.0).alias("q"))
     two = {"long_by_play": ("long_watch", "p"), "like_by_author": ("like", "q"), "like_by_play": ("like", "p")}
     return rounded(auc_table(d, two).join(log_loss_table(d, two), "metric"), "auc", "logloss")
@@ -244,7 +244,7 @@ def reranked(spark, sf):
 
 
 def shown_metrics(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     full = stage(with_item_meta(ranked_orders(x), x.items, "test", ORDER_RERANK), "ranked-meta")
     return rounded(list_metrics(full, full.filter("rank_position <= 20"), "rank_position", ORDER_RERANK), "value", digits=4)
 
@@ -288,7 +288,7 @@ def coarse_mlp(spark, sf):
 
 
 def fine_tasks(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     pop = popular_items(x.train)
     fit = degraded_scores(popular_candidates(x.val.select("user_id"), pop, 100, x.train).withColumn("merged_score", F.col("source_score")))
     test = degraded_scores(popular_candidates(x.test.select("user_id"), pop, 100, x.train).withColumn("merged_score", F.col("source_score")))
@@ -300,13 +300,13 @@ def fine_tasks(spark, sf):
 
 
 def factor_lists(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     users, items = latent_factors(x.train, dim=16, iterations=5)
     return rounded(exact_topk(stage(users, "uf"), stage(items, "vf"), 20), "score", digits=3)
 
 
 def interest(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     cand = popular_candidates(x.test.select("user_id"), popular_items(x.train), 300, None, False)
     return rounded(interest_scores(cand, positive_sequences(x.train), x.item_vectors), "interest_score", digits=4)
 

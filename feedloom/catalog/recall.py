@@ -46,7 +46,7 @@ def neighbors(kind, rules):
 
 def cf_candidates(kind, rules):
     def run(spark, sf):
-        x = kind(spark, sf)
+        x = kind(spark, sf).staged()
         mine = x.sequences.join(x.test.select("user_id").distinct(), "user_id", "left_semi")
         return rounded(itemcf_candidates(mine, itemcf_neighbors(x.train, rules), rules), "source_score")
 
@@ -155,7 +155,7 @@ def channels(x, split="test"):
 
 
 def profile_candidates(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     users = x.test.select(F.col("user_id").alias("id")).distinct()
     prof = _profiles(x).join(users, "id", "left_semi")
     out = vector_candidates(prof, x.item_vectors, 300, "graph_emb", x.train, CELLS)
@@ -178,7 +178,7 @@ def _two_channels(x):
 
 def merged(kind):
     def run(spark, sf):
-        x = kind(spark, sf)
+        x = kind(spark, sf).staged()
         if kind is orders:
             frames = _two_channels(x)
         else:
@@ -200,26 +200,26 @@ def merged_all(spark, sf):
 
 
 def metrics(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     ch = {k: stage(v, k) for k, v in _two_channels(x).items()}
     m = stage(merge_candidates(list(ch.values())), "merged")
     return rounded(recall_metrics(m, ch, x.test, x.items), "value", digits=5)
 
 
 def channel_overlap(spark, sf):
-    x = orders(spark, sf)
+    x = orders(spark, sf).staged()
     return rounded(source_overlap(_two_channels(x)), "jaccard")
 
 
 def seen_filter(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     users = x.test.select("user_id").distinct()
     pool = popular_candidates(users, popular_items(x.train), 300, None, False)
     return drop_seen(pool, x.train, 20).select("user_id", "video_id", "source_rank")
 
 
 def supplemented(spark, sf):
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     users = x.test.select("user_id").distinct()
     mine = x.sequences.join(users, "user_id", "left_semi")
     few = itemcf_candidates(mine, itemcf_neighbors(x.train), replace(ItemCfRules(), topk=10))
@@ -229,7 +229,7 @@ def supplemented(spark, sf):
 
 def train_candidates(spark, sf):
     """Train users keep their own items in the pool (no history is removed)."""
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     out = popular_candidates(x.train.select("user_id"), popular_items(x.train), 300, None, False)
     return out.select("user_id", "video_id", "source_rank")
 

@@ -64,7 +64,7 @@ def state_stream(spark, sf):
 def state_stream_seeded(spark, sf):
     """Test-period feedback on top of states built from the train sequences."""
     use_rocksdb(spark)
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     raw = read_parquet_stream(spark, sf, "events").filter("ts >= timestamp_ntz'2024-01-26 00:00:00'").select(*A.feedback_columns())
     seed = stage(states_from_sequences(x.sequences), "seed")
     ev = normalise_feedback(raw, stage(x.items, "items"))
@@ -119,7 +119,7 @@ def windows_stream(spark, sf):
 
 def serve(spark, sf):
     """Every user of the event log asks for a list, with the state their feedback left."""
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     ev = _batch_events(spark, sf)
     states = stage(fold_feedback(ev), "states")
     prof = stage(recency_profiles(positive_sequences(x.train), x.item_vectors), "profiles")
@@ -131,7 +131,7 @@ def serve(spark, sf):
 
 def serve_popular(spark, sf):
     """No vectors at hand: the popular fallback, recent views removed."""
-    x = events(spark, sf)
+    x = events(spark, sf).staged()
     ev = _batch_events(spark, sf)
     states = stage(fold_feedback(ev), "states")
     requests = ev.groupBy("user_id").agg(F.lit(10).alias("top_k"))

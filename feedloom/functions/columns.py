@@ -47,7 +47,7 @@ def fixed_sum(c, scale: int = LONG_SCALE) -> Column:
     Integer addition has no order, so the result does not change with the
     partitioning or after a task retry, and rankings over it stay put.
     """
-    return F.sum(F.round(col_(c) * scale).cast("bigint")).cast("double") / float(scale)
+    return F.sum(F.floor(col_(c) * float(scale) + 0.5)).cast("double") / float(scale)
 
 
 def relative_lift(base, new) -> Column:
@@ -56,8 +56,20 @@ def relative_lift(base, new) -> Column:
 
 
 def ymd_to_date(c) -> Column:
-    """YYYYMMDD integer to date, null when it is no date."""
-    return F.try_to_date(col_(c).cast("string"), "yyyyMMdd")
+    """YYYYMMDD integer to date, null when it is no date.
+
+    Plain arithmetic: several times cheaper per row than parsing text.
+    """
+    n = col_(c).cast("int")
+    y, m, d = F.floor(n / 10000).cast("int"), F.floor(n / 100).cast("int") % 100, n % 100
+    month_ok = y.between(1, 9999) & m.between(1, 12)
+    first = F.when(month_ok, F.make_date(y, m, F.lit(1)))
+    return F.when(d.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
+
+
+def date_to_ymd(c) -> Column:
+    d = col_(c)
+    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
 
 
 def days_between(reference, upload) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.config import LabelRules, SplitDates
-from feedloom.functions.columns import clip, days_between, flag, num, ymd_to_date
+from feedloom.functions.columns import clip, date_to_ymd, days_between, flag, num, ymd_to_date
 
 
 def add_labels(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
@@ -46,15 +46,15 @@ def prepare_items(items: DataFrame) -> DataFrame:
     parsed = F.try_to_date(F.substring(F.trim(F.col("upload_dt")), 1, 10), "yyyy-MM-dd")
     return items.withColumns(
         {
-            "upload_date": F.date_format(parsed, "yyyyMMdd").cast("int"),
+            "upload_date": date_to_ymd(parsed),
             "tag": F.coalesce(F.col("tag").cast("string"), F.lit("unknown")),
-            "author_id": F.coalesce(num("author_id", None).cast("bigint"), F.lit(-1).cast("bigint")),
+            "author_id": F.coalesce(F.col("author_id").try_cast("bigint"), F.lit(-1).cast("bigint")),
         }
     )
 
 
 def prepare_users(users: DataFrame) -> DataFrame:
-    return users.withColumn("user_id", num("user_id", None).cast("bigint"))
+    return users.withColumn("user_id", F.col("user_id").try_cast("bigint"))
 
 
 def prepare_interactions(logs: DataFrame, items: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
@@ -65,11 +65,11 @@ def prepare_interactions(logs: DataFrame, items: DataFrame, rules: LabelRules =
     """
     typed = add_positive(add_labels(logs, rules)).withColumns(
         {
-            "user_id": num("user_id", None).cast("bigint"),
-            "video_id": num("video_id", None).cast("bigint"),
-            "date": num("date", None).cast("int"),
-            "time_ms": num("time_ms").cast("bigint"),
-            "hourmin": num("hourmin", -1).cast("int"),
+            "user_id": F.col("user_id").try_cast("bigint"),
+            "video_id": F.col("video_id").try_cast("bigint"),
+            "date": F.col("date").try_cast("int"),
+            "time_ms": F.coalesce(F.col("time_ms").try_cast("bigint"), F.lit(0).cast("bigint")),
+            "hourmin": F.coalesce(F.col("hourmin").try_cast("int"), F.lit(-1)),
         }
     )
     side = items.select(

@@ -36,6 +36,13 @@ def union_candidates(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def known_channels(candidates: DataFrame, sources: tuple) -> DataFrame:
+    """Fail on a channel the rules do not list: its scores would have no column."""
+    name = F.col("recall_source")
+    error = F.raise_error(F.concat(F.lit("unlisted recall channel: "), F.coalesce(name, F.lit("null"))))
+    return candidates.withColumn("recall_source", F.when(name.isin(*sources), name).otherwise(error.cast("string")))
+
+
 def _by_source(table: dict, default) -> Column:
     """CASE over the channel name with the configured value per channel."""
     out = F.lit(table.get("default", default))
@@ -74,30 +81,31 @@ def merge_candidates(frames: list[DataFrame], rules: MergeRules = MergeRules())
     The union is spread by user once; quota, merge and final rank all work on that
     layout.  A user holds at most the sum of the channel quotas.
     """
-    raw = union_candidates(frames).repartition("user_id")
+    raw = known_channels(union_candidates(frames), rules.sources).repartition("user_id")
     scored = normalise_scores(apply_quota(raw, rules.quota)).withColumn(
         "_w", F.col("source_score_norm").cast("double") * _by_source(rules.weights, 1.0)
     )
+    # flags and extremes per channel keep this a plain hash aggregation
     per_source = []
     for name in rules.sources:
         mine = F.col("recall_source") == name
         per_source.append(F.max(F.when(mine, F.col("source_score"))).alias(f"{name}_score"))
         per_source.append(F.min(F.when(mine, F.col("source_rank"))).alias(f"{name}_rank"))
     merged = scored.groupBy("user_id", "video_id").agg(
-        F.array_sort(F.collect_set("recall_source")).alias("_sources"),
         F.max("source_score").alias("source_score"),
         F.min("source_rank").alias("source_rank"),
         fixed_sum("_w", FINE_SCALE).cast("float").alias("merged_score"),
         *per_source,
     )
+    present = [(s, F.col(f"{s}_rank").isNotNull()) for s in sorted(rules.sources)]
     merged = merged.select(
         "user_id",
         "video_id",
-        F.array_join("_sources", "|").alias("recall_source"),
+        F.concat_ws("|", *[F.when(has, F.lit(s)) for s, has in present]).alias("recall_source"),
         "source_score",
         "source_rank",
         "merged_score",
-        F.size("_sources").alias("source_count"),
+        reduce(lambda a, b: a + b, [has.cast("int") for _, has in present]).alias("source_count"),
         *[c for s in rules.sources for c in (f"{s}_score", f"{s}_rank")],
     )
     order = [

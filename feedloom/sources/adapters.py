@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.config import FeatureRules, LabelRules, RerankRules, SplitDates
+from feedloom.functions.columns import date_to_ymd
 from feedloom.operators.labels import prepare_interactions, prepare_items
 
 ORDER_SPLIT = SplitDates(19991231, 20000101, 20001231, 20010101)
@@ -29,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Scan of fewer splits than cores (one small file) spread by key; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def wall_millis(ts: Column) -> Column:
     """Epoch milliseconds of a zone-less timestamp, whatever the session time zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -36,7 +43,7 @@ def wall_millis(ts: Column) -> Column:
 
 
 def ymd(ts: Column) -> Column:
-    return F.date_format(ts.cast("timestamp_ntz").cast("date"), "yyyyMMdd").cast("int")
+    return date_to_ymd(ts.cast("timestamp_ntz").cast("date"))
 
 
 # ----------------------------------------------------------------- orders
@@ -44,8 +51,9 @@ def ymd(ts: Column) -> Column:
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
+        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag"
     )
+    li = spread(li, "l_orderkey")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
@@ -96,7 +104,7 @@ def orders_interactions(spark: SparkSession, sf_dir: str, rules: LabelRules = La
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"), "event_id")
     return ev.select(
         "user_id",
         F.get_json_object("props", "$.k").try_cast("bigint").alias("video_id"),
