@@ -107,7 +107,7 @@ def comparison(spark, sf):
     x = orders(spark, sf).staged()
     g, lists = _arms(x)
     m = group_metrics(lists, g, ground_truth(x.test), x.items, impressions(x.test), RULES.topk)
-    return rounded(lift_table(m), "control", "treatment", "relative_lift", digits=4)
+    return rounded(lift_table(m), "control", "treatment", "relative_lift")
 
 
 def intervals(spark, sf):
@@ -182,13 +182,13 @@ def lift_by_segment(spark, sf):
     b = C.segment_metrics(base, seg, t, x.items, n, COLD)
     e = C.segment_metrics(stage(enhanced, "enhanced"), seg, t, x.items, n, COLD)
     keep = F.col("metric").isin("hit_rate@10", "recall@50", "long_view_rate@10", "coverage@10")
-    return rounded(C.segment_lift(b.filter(keep), e.filter(keep)), "baseline", "enhanced", "lift", digits=4)
+    return rounded(C.segment_lift(b.filter(keep), e.filter(keep)), "baseline", "enhanced", "lift")
 
 
 def metrics_by_segment(spark, sf):
     x = orders(spark, sf).staged()
     out = C.segment_metrics(_popular(x), _segments(x), ground_truth(x.test), x.items, impressions(x.test), COLD)
-    return rounded(out, "value", digits=4)
+    return rounded(out, "value")
 
 
 def item_segment_report(spark, sf):
@@ -496,7 +496,7 @@ UNION ALL SELECT user_id, video_id, merged_rank, CAST(merged_score AS DOUBLE), '
     ),
     "ab_comparison": sql(
         f"""
-SELECT metric, round(c, 4) AS control, round(t, 4) AS treatment, round(CASE WHEN abs(c) >= 1e-12 THEN (t - c) / c END, 4) AS relative_lift FROM (
+SELECT metric, round(c, 6) AS control, round(t, 6) AS treatment, round(CASE WHEN abs(c) >= 1e-12 THEN (t - c) / c END, 6) AS relative_lift FROM (
 SELECT metric, max(CASE WHEN "group" = 'control' THEN value END) AS c, max(CASE WHEN "group" = 'treatment' THEN value END) AS t
 FROM ({_group_metrics('um_arms', 'arms_o', 'groups_o')}) GROUP BY 1)""",
         "um_arms",
@@ -534,8 +534,8 @@ FROM useg_names n LEFT JOIN useg_o u ON n.segment = u.segment LEFT JOIN imp_o i
     "cold_start_fusion": sql("SELECT user_id, video_id, pos, round(score, 5) AS score, reason FROM fused_o", "fused_o"),
     "segment_lift": sql(
         f"""
-SELECT b."group" AS segment, b.metric, round(b.value, 4) AS baseline, round(e.value, 4) AS enhanced,
-  round(CASE WHEN abs(b.value) >= 1e-12 THEN (e.value - b.value) / b.value END, 4) AS lift
+SELECT b."group" AS segment, b.metric, round(b.value, 6) AS baseline, round(e.value, 6) AS enhanced,
+  round(CASE WHEN abs(b.value) >= 1e-12 THEN (e.value - b.value) / b.value END, 6) AS lift
 FROM ({_segment_rows('um_base', 'pol_cf100_o', _KEEP)}) b JOIN ({_segment_rows('um_fused', 'fused_list_o', _KEEP)}) e ON b."group" = e."group" AND b.metric = e.metric""",
         "useg_names",
         "ugrp_o",
@@ -547,7 +547,7 @@ FROM ({_segment_rows('um_base', 'pol_cf100_o', _KEEP)}) b JOIN ({_segment_rows('
         "items_o",
     ),
     "segment_metrics": sql(
-        f'SELECT "group", metric, round(value, 4) AS value FROM ({_segment_rows("um_pop", "pol_pop50_o")})',
+        f'SELECT "group", metric, round(value, 6) AS value FROM ({_segment_rows("um_pop", "pol_pop50_o")})',
         "useg_names",
         "ugrp_o",
         "um_pop",
