@@ -88,12 +88,20 @@ class Workspace:
         write_metrics(long, self.path("metrics"))
 
 
-def preprocess(ws: Workspace, logs: DataFrame, users: DataFrame, items: DataFrame, items_ready: bool = False) -> DataFrame:
-    """Interactions partitioned by date, side tables and train-only sequences; returns the split summary."""
+def preprocess(ws: Workspace, logs: DataFrame, users: DataFrame, items: DataFrame, items_ready: bool = False, by_date: bool = True) -> DataFrame:
+    """Interactions, side tables and train-only sequences; returns the split summary.
+
+    With ``by_date`` the interactions are partitioned by date, so a split reads only
+    its days.  The rebalance hint merges small days and divides a crowded one.
+    """
     items = items if items_ready else prepare_items(items)
     ws.save("items", items)
     ws.save("users", prepare_users(users))
-    ws.save("interactions", prepare_interactions(logs, ws.load("items"), ws.rules.labels), partition_by=["date"])
+    rows = prepare_interactions(logs, ws.load("items"), ws.rules.labels)
+    if by_date:
+        ws.save("interactions", rows.hint("rebalance", "date"), partition_by=["date"])
+    else:
+        ws.save("interactions", rows)
     ws.save("sequences", user_sequences(ws.split("train"), ws.rules.sequences))
     return split_summary({s: ws.split(s) for s in K.SPLITS})
 
