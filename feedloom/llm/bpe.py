@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,8 +18,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import id_text, smaller, text_bytes
-from feedloom.llm.tokens import WordIds, word_bpe
+from feedloom.llm.common import id_text, smaller
+from feedloom.llm.tokens import PieceIds, Splitter, WordIds, word_bpe
 
 CODES = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -32,9 +31,9 @@ class PairIndexCodec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, tok = spec["model"], Tokenizer.from_file(path)
+        self.splitter, tok = Splitter(path), Tokenizer.from_file(path)
+        spec = self.splitter.spec
+        model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.normalise, self.presplit = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
@@ -49,35 +48,36 @@ class PairIndexCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ...
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in set(own)]
+        letter = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.first = [self.vocab.get(letter[b], -1) for b in range(256)]
+        self.last = [self.vocab.get(letter[b] + self.suffix, -1) for b in range(256)]
+        self.byte = {c: b for b, c in letter.items()}
+
+    def encode_word(self, word: str) -> list[int]:
+        """A word that the splitter leaves to the library; a special token is its id."""
+        out: list[int] = []
+        for part in self.cut.split(word) if self.cut else [word]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                cut = [bytes(self.byte[c] for c in p) for p, _ in self.presplit(self.normalise(part))]
+                out += [i for ids in self.encode_bytes(cut) for i in ids]
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        return self.encode_bytes([p.encode() for p in pieces])
 
-    def pieces(self, word: str) -> list[int | str]:
-        """Parts of a word that merges never cross; a special token is its id."""
-        if self.cut and "<" in word:
-            out: list[int | str] = []
-            for part in self.cut.split(word):
-                if part in self.special:
-                    out.append(self.special[part])
-                elif part:
-                    out += [p for p, _ in self.presplit(self.normalise(part))]
-            return out
-        return [p for p, _ in self.presplit(self.normalise(word))]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        vocab, suffix = self.vocab, self.suffix
+    def encode_bytes(self, pieces: list[bytes]) -> list[list[int]]:
         symbols: list[int] = []
         ends: list[int] = []
-        stops: set[int] = set()  # positions after which no pair begins
-        for w in words:
-            for p in self.pieces(w):
-                if isinstance(p, int):
-                    symbols.append(p)
-                else:
-                    symbols += [vocab[c] for c in p[:-1] if c in vocab]
-                    if p[-1] + suffix in vocab:
-                        symbols.append(vocab[p[-1] + suffix])
-                stops.add(len(symbols) - 1)
+        for p in pieces:
+            symbols += [self.first[b] for b in p[:-1]]
+            symbols.append(self.last[p[-1]])
             ends.append(len(symbols))
-        self.merge(symbols, stops)
+        self.merge(symbols, {e - 1 for e in ends})
         out, begin = [], 0
         for end in ends:
             out.append([s for s in symbols[begin:end] if s >= 0])
@@ -127,13 +127,13 @@ class PairIndexCodec:
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[PairIndexCodec, WordIds]:
     c = PairIndexCodec(path)
-    return c, WordIds(c.encode_words)
+    return c, WordIds(PieceIds(c.splitter, c.encode_pieces, c.encode_word))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list, list[str]]]:
     c, known = codec(path)
     for b in smaller(batches):
-        ids, ends = known.batch(text_bytes(b.column(1)))
+        ids, ends = known.batch(b.column(1))
         per_text, begin = [], 0
         for end in ends:
             per_text.append(ids[begin:end])

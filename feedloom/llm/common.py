@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,23 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; ``bytes.split()`` and ``bytes.lower()`` then follow ``SPACES`` and A-Z exactly."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def distinct_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of some texts: the distinct ones, which of them each word is, and where each text ends.
+
+    Arrow parts at the same characters as ``SPACES``; ``lower`` lower-cases A-Z only.  A text that
+    begins or ends with white space gives an empty word, which is left out.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = parts.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = (parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()).astype(np.int64)
+    if b"" in distinct:
+        blank = distinct.index(b"")
+        full = places != blank
+        ends = np.concatenate(([0], np.cumsum(full)))[ends]
+        places = places[full]
+    return distinct, places, ends
 
 
 def by_key(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -44,7 +59,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def smaller(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def smaller(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, so that Python holds few texts at once."""
     for b in batches:
         step = max(1, int(b.num_rows * size / max(1, b.nbytes)))

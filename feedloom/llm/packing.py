@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_text, smaller, text_bytes
+from feedloom.llm.common import id_text, smaller
 from feedloom.llm.tokens import library_words, word_bpe
 from feedloom.session import stage
 
@@ -59,7 +59,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[tuple]:
     known = library_words(path)
     for b in smaller(batches):
-        ids, ends = known.batch(text_bytes(b.column(1)))
+        ids, ends = known.batch(b.column(1))
         begin = 0
         for doc, end in zip(b.column(0).to_pylist(), ends, strict=True):
             whole = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4")

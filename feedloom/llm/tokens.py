@@ -7,13 +7,20 @@ once per worker; a text is then a gather from one flat array of ids.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from feedloom.llm.common import ragged
+from feedloom.llm.common import distinct_words, ragged
+
+#: How the default vocabulary file normalises and splits a text.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def word_bpe() -> str:
@@ -23,13 +30,33 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Splitter:
+    """Cuts words into the pieces that merges never cross.
+
+    Words of printable ASCII and Latin-1 letters are cut here by the file's own pattern, which
+    needs no Unicode tables for them; ``simple`` is None for every other word, for words that may
+    hold a special token, and for files with another pattern: those go through the library.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        steps = (self.spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        known = (self.spec["normalizer"] or {}).get("normalizers") == NORMALIZER and steps[0].get("pattern") == {"Regex": SPLIT}
+        self.plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+" if known else r"(?!)").fullmatch
+        self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+    def simple(self, word: str) -> list[str] | None:
+        return self.find(word.lower()) if self.plain(word) and "<|" not in word else None
+
+
 class WordIds:
     """Word to ids; ``encode`` gets a list of new words and returns a list of id lists.
 
     The cache is emptied when it holds ``limit`` words, which bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -37,24 +64,39 @@ class WordIds:
         self.index: dict[bytes, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
-    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text ends in it."""
         if len(self.index) > self.limit:
             self.clear()
-        split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.index})
+        distinct, places, ends_of_texts = distinct_words(texts)
+        new = [w for w in distinct if w not in self.index]
         if new:
             for w, ids in zip(new, self.encode([w.decode("utf-8", "replace") for w in new]), strict=True):
                 self.index[w] = len(self.ends) - 1
                 self.flat.extend(ids)
                 self.ends.append(len(self.flat))
-        at = self.index.__getitem__
-        places = np.fromiter((at(w) for ws in split for w in ws), np.int64, sum(map(len, split)))
+        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         flat, ends = np.array(self.flat, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
-        lengths = ends[places + 1] - ends[places]
-        ids = flat[ragged(ends[places], lengths)]
+        starts, lengths = ends[known][places], (ends[known + 1] - ends[known])[places]
         counts = np.concatenate(([0], np.cumsum(lengths)))
-        return ids, counts[np.cumsum([len(ws) for ws in split])] if split else np.zeros(0, np.int64)
+        return flat[ragged(starts, lengths)], counts[ends_of_texts]
+
+
+class PieceIds:
+    """Ids of words by way of their distinct pieces, which ``encode_pieces`` turns into ids."""
+
+    def __init__(self, splitter: Splitter, encode_pieces: Callable[[list[str]], list[list[int]]], encode_word: Callable[[str], list[int]], limit: int = 300_000):
+        self.splitter, self.encode_pieces, self.encode_word, self.limit = splitter, encode_pieces, encode_word, limit
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        parts = [self.splitter.simple(w) for w in words]
+        new = list({p for ps in parts if ps for p in ps}.difference(self.known))
+        self.known.update(zip(new, self.encode_pieces(new), strict=True))
+        known = self.known
+        return [self.encode_word(w) if ps is None else known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for w, ps in zip(words, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -62,7 +104,25 @@ def library_words(path: str) -> WordIds:
     """Words encoded by the tokenizers library, without truncation, padding or special ids."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok, splitter = Tokenizer.from_file(path), Splitter(path)
     tok.no_truncation()
     tok.no_padding()
-    return WordIds(lambda ws: [e.ids for e in tok.encode_batch_fast(ws, add_special_tokens=False)])
+    suffix = splitter.spec["model"].get("end_of_word_suffix") or "\0"
+    last = {i for t, i in tok.get_vocab().items() if t.endswith(suffix)}
+
+    def pieces(new: list[str], step: int = 1000) -> list[list[int]]:
+        """Many pieces in one call; a token with the end-of-word suffix ends a piece."""
+        out: list[list[int]] = []
+        for k in range(0, len(new), step):
+            part, got, begin = new[k : k + step], [], 0
+            ids = tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            for end, i in enumerate(ids, 1):
+                if i in last:
+                    got.append(ids[begin:end])
+                    begin = end
+            if len(got) != len(part) or begin != len(ids):
+                got = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+            out += got
+        return out
+
+    return WordIds(PieceIds(splitter, pieces, lambda w: tok.encode(w, add_special_tokens=False).ids))
