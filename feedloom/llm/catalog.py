@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.llm import exact, rules
 from feedloom.llm.bpe import bpe_digests
 from feedloom.llm.common import documents
 from feedloom.llm.packing import pack_documents
@@ -32,3 +33,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
+
+
+@query("op4_exact_dedup", exact.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir), digest=True)
+
+
+@query("op9_quality_rules", rules.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rules.rule_quality(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
