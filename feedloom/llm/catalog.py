@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import exact, rules
+from feedloom.llm import exact, rules, substring
 from feedloom.llm.bpe import bpe_digests
 from feedloom.llm.common import documents
 from feedloom.llm.packing import pack_documents
@@ -44,3 +44,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rules.rule_quality(documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_substring_dedup", substring.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_words(documents(spark, sf_dir))

@@ -65,3 +65,30 @@ def smaller(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[
         step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
+
+
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of some texts, and where each text ends."""
+    import xxhash
+
+    distinct, places, ends = distinct_words(texts, lower)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    return hashes[places], ends
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bit mixing of 64-bit integers (the finaliser of MurmurHash3)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` words, from the words' hashes."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, np.uint64(k))
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    return mixed(out)
