@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import exact, rules, substring
+from feedloom.llm import exact, html, langid, minhash, quality, rules, substring, urls
 from feedloom.llm.bpe import bpe_digests
 from feedloom.llm.common import documents
 from feedloom.llm.packing import pack_documents
@@ -49,3 +49,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substring_dedup", substring.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicate_words(documents(spark, sf_dir))
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(documents(spark, sf_dir), size=4)
+
+
+@query("op3_quality_ranking")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op6_url_filters", urls.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(urls.page_captures(pages), urls.page_entries(pages))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))

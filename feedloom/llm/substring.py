@@ -93,9 +93,16 @@ def _anchor_lists(texts: DataFrame, window: int, gram: int) -> DataFrame:
         for b in smaller(batches):
             found = _windows(*word_hashes(b.column("text")), window, gram)
             values, counts = _selected(*found, window, gram, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("num"), _lists(values.view(np.int64), counts, pa.int64())], names=["num", "anchors"])
+            of = np.repeat(np.arange(b.num_rows), counts)
+            order = np.lexsort((values, of))
+            values, of = values[order], of[order]
+            new = np.ones(len(values), bool)
+            new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+            again = np.flatnonzero(~new)
+            columns = [_lists(values[i].view(np.int64), np.bincount(of[i], minlength=b.num_rows), pa.int64()) for i in (np.flatnonzero(new), again)]
+            yield pa.RecordBatch.from_arrays([b.column("num"), *columns], names=["num", "anchors", "again"])
 
-    return texts.select("num", "text").mapInArrow(run, "num long, anchors array<long>")
+    return texts.select("num", "text").mapInArrow(run, "num long, anchors array<long>, again array<long>")
 
 
 def _candidates(b: pa.RecordBatch, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,8 +184,10 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     own = by_key(rows, if_small(numbered.select(*keys, "num")), keys)
     lists = stage(_anchor_lists(own, window, gram), "subanchors")
     anchors = lists.select("num", F.explode("anchors").alias("anchor"))
-    twice = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    recurring = stage(anchors.join(twice, "anchor", "left_semi").groupBy("num").agg(F.collect_set("anchor").alias("anchors")).join(numbered, "num").select(*keys, "num", "anchors"), "subrecurring")
+    # staged, so that both sides of the join are plain exchanges and Spark can split a hot anchor
+    twice = stage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "subtwice")
+    shared = anchors.join(twice, "anchor", "left_semi").unionByName(lists.select("num", F.explode("again").alias("anchor")))
+    recurring = stage(shared.groupBy("num").agg(F.collect_set("anchor").alias("anchors")).join(numbered, "num").select(*keys, "num", "anchors"), "subrecurring")
     texts = by_key(by_key(rows, if_small(recurring.select(*keys)), keys, "left_semi"), recurring, keys)
     firsts = _index_rows(texts, window, gram).groupBy("window").agg(F.min("place").alias("place"))
     firsts = firsts.groupBy(F.shiftright("place", SHIFT).alias("num")).agg(F.collect_list(F.col("place").bitwiseAND((1 << SHIFT) - 1).cast("int")).alias("firsts"))
@@ -212,12 +221,13 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the duplicate words taken out of the text (other words joined by a space); other texts and columns stay as they are."""
     _, copies, factors = parsed(docs, id_col, text_col, window, gram, True)
-    keys = ["doc_id", "text_key"]
-    changed = copies.select(*keys, F.lit("").alias("kept_text")).unionByName(factors.select(*keys, "kept_text")).dropDuplicates(keys)
-    marked = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    new = changed.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("kept_text").alias("__t"))
-    joined = marked.join(new, marked[id_col].eqNullSafe(new["__d"]) & (marked["__key"] == new["__k"]), "left")
-    return joined.select(*[F.coalesce("__t", text_col).alias(c) if c == text_col else marked[c] for c in docs.columns])
+    keys = ["__d", "__k"]
+    changed = copies.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.lit("").alias("__t"))
+    changed = stage(changed.unionByName(factors.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("kept_text").alias("__t"))).dropDuplicates(keys), "subchanged")
+    marked = docs.withColumns({"__d": F.col(id_col), "__k": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    same = by_key(marked, if_small(changed.select(*keys)), keys, "left_anti").select(*docs.columns)
+    rest = by_key(marked.drop(text_col), changed, keys).withColumnRenamed("__t", text_col)
+    return same.unionByName(rest.select(*docs.columns))
 
 
 SQL = rf"""
