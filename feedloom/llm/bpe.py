@@ -55,6 +55,7 @@ class PairIndexCodec:
         self.first = [self.vocab.get(letter[b], -1) for b in range(256)]
         self.last = [self.vocab.get(letter[b] + self.suffix, -1) for b in range(256)]
         self.byte = {c: b for b, c in letter.items()}
+        self.splitter.spec = {}
 
     def encode_word(self, word: str) -> list[int]:
         """A word that the splitter leaves to the library; a special token is its id."""

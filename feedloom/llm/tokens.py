@@ -56,7 +56,7 @@ class WordIds:
     The cache is emptied when it holds ``limit`` words, which bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -85,7 +85,7 @@ class WordIds:
 class PieceIds:
     """Ids of words by way of their distinct pieces, which ``encode_pieces`` turns into ids."""
 
-    def __init__(self, splitter: Splitter, encode_pieces: Callable[[list[str]], list[list[int]]], encode_word: Callable[[str], list[int]], limit: int = 300_000):
+    def __init__(self, splitter: Splitter, encode_pieces: Callable[[list[str]], list[list[int]]], encode_word: Callable[[str], list[int]], limit: int = 200_000):
         self.splitter, self.encode_pieces, self.encode_word, self.limit = splitter, encode_pieces, encode_word, limit
         self.known: dict[str, list[int]] = {}
 
@@ -109,6 +109,7 @@ def library_words(path: str) -> WordIds:
     tok.no_padding()
     suffix = splitter.spec["model"].get("end_of_word_suffix") or "\0"
     last = {i for t, i in tok.get_vocab().items() if t.endswith(suffix)}
+    splitter.spec = {}
 
     def pieces(new: list[str], step: int = 1000) -> list[list[int]]:
         """Many pieces in one call; a token with the end-of-word suffix ends a piece."""
