@@ -45,9 +45,10 @@ def fixed_sum(c, scale: int = LONG_SCALE) -> Column:
     """Sum rounded terms as integers.
 
     Integer addition has no order, so the result does not change with the
-    partitioning or after a task retry, and rankings over it stay put.
+    partitioning or after a task retry, and rankings over it stay put.  The sum
+    has 38 digits, so whole tables do not overflow it.
     """
-    return F.sum(F.floor(col_(c) * float(scale) + 0.5)).cast("double") / float(scale)
+    return F.sum(F.floor(col_(c) * float(scale) + 0.5).cast("decimal(28,0)")).cast("double") / float(scale)
 
 
 def relative_lift(base, new) -> Column:

@@ -70,11 +70,16 @@ def read_logs(
     if not files:
         raise ValueError("no log files configured")
     if limit is None:
-        raw = spark.read.csv(files, header=True, inferSchema=False)
-        require_columns(raw.columns, LOG_COLUMNS, "log")
-        return raw.select("*", F.col("_metadata.file_name").alias("source_file")).transform(
-            lambda d: _typed(d, T.StructType(LOG_SCHEMA.fields + [T.StructField("source_file", T.StringType())]))
-        )
+        typed = T.StructType(LOG_SCHEMA.fields + [T.StructField("source_file", T.StringType())])
+        by_header: dict[tuple[str, ...], list[str]] = {}  # one read takes all its files by one header
+        for p in files:
+            by_header.setdefault(tuple(spark.read.csv(p, header=True, inferSchema=False).columns), []).append(p)
+        parts = []
+        for header, same in by_header.items():
+            require_columns(list(header), LOG_COLUMNS, "log")
+            raw = spark.read.csv(same, header=True, inferSchema=False)
+            parts.append(_typed(raw.select("*", F.col("_metadata.file_name").alias("source_file")), typed))
+        return reduce(DataFrame.unionByName, parts)
     parts = [
         read_csv(spark, p, LOG_SCHEMA, p, limit).withColumn("source_file", F.lit(p.rstrip("/").split("/")[-1]))
         for p in files
