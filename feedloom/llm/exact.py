@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     extra = ["text_sha256"] if digest else []
     alone = second.where("full IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *extra)
     rest = second.where("full IS NOT NULL")
-    groups = rest.groupBy("full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # staged, so that both sides of the join are plain exchanges and Spark can split a hot group
+    groups = stage(rest.groupBy("full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exactcopies")
     found = alone.unionByName(rest.join(groups, "full").select("doc_id", "keep_id", "group_size", *extra))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
