@@ -6,9 +6,10 @@ tables.  A table can only hold two texts if both of its halves are shared, so pa
 formed for shared halves only.
 
 Texts of equal shingle sets are one node.  In every table the smallest node is the hub: each node
-is first compared with its hub, on full sets, and in two more rounds with other hubs.  What is then
-still in several components within one table is compared pair by pair, so no component misses a
-link between texts that met in a table.
+is first compared with its hub, on full sets.  Nodes of tables that then still hold several
+components go by their differences from one hub: an index of differing shingles finds every pair
+that may be linked, and those are compared, so no component misses a link between texts that met in
+a table.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from feedloom.session import stage
 #: 14 x 14 tables of 3 + 3 minhashes: two texts of similarity 0.8 miss all of them with probability
 #: 1 - (1 - (1 - 0.8 ** 3) ** 14) ** 2, below 1 in 10,000; more similar ones far less often.
 SIDE, WIDTH = 14, 3
-#: Rounds with other hubs before the remaining pairs are compared; they only spare pairs.
-HUB_ROUNDS = 2
 
 
 def shingle_sets(words: np.ndarray, ends: np.ndarray, size: int) -> list[np.ndarray]:
@@ -133,19 +132,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = components(edges)
     label = lambda found: nodes.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     rows = _open_rows(tables, hubs, label(found), sets, percent)
-    for last in (*[False] * HUB_ROUNDS, True):
-        if rows.isEmpty():
-            break
-        fresh = _left_over(rows, percent) if last else _next_hubs(rows)
-        fresh = stage(fresh.join(pairs, ["a", "b"], "left_anti"), "mhpairs")
-        new = stage(linked(fresh, sets, percent), "mhedges")
-        pairs = pairs.unionByName(fresh)
-        if new.isEmpty():
-            continue
-        edges = edges.unionByName(new)
+    if not rows.isEmpty():
+        diffs = _differences(rows, sets)
+        g = (100 + percent) * F.col("s") - (100 - percent) * F.col("n")
+        near = diffs.where(F.col("near") & (g <= (100 - percent) * F.col("n_hub")) & (F.col("node") != F.col("hub")))
+        edges = edges.unionByName(stage(near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), "mhedges"))
+        fresh = stage(_left_over(diffs, label(components(edges)).drop("n"), percent).join(pairs, ["a", "b"], "left_anti"), "mhpairs")
+        edges = edges.unionByName(stage(linked(fresh, sets, percent), "mhedges"))
         found = components(edges)
-        if not last:
-            rows = stage(_mixed(rows.drop("component").join(label(found).drop("n"), "node")).drop("n_low"), "mhopen")
     classes = nodes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     some, none = signed.where("n_shingles > 0"), signed.where("n_shingles = 0")
     out = some.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
@@ -177,15 +171,49 @@ def _open_rows(tables: DataFrame, hubs: DataFrame, info: DataFrame, sets: DataFr
     return stage(_mixed(rows).drop("n_low"), "mhopen")
 
 
-def _next_hubs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node with the least edited node of another component that it met as a hub."""
-    hub = rows.groupBy("tab").agg(F.min(F.struct((F.col("n") - F.col("m")) / F.col("n"), "node", "component")).alias("h"))
-    best = rows.join(hub, "tab").where("h.component <> component").groupBy("node").agg(F.min("h").alias("h"))
-    return best.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, n, cluster, hub, n_hub, near, s, items`` of open nodes: what each differs in from its cluster's hub.
 
-
-def _left_over(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of open rows that met in a table, are in different components and may be linked."""
-    x, y = (rows.select("tab", F.col("node").alias(k), F.col("n").alias("n" + k), F.col("m").alias("m" + k), F.col("component").alias("c" + k)) for k in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb")))
-    return x.join(y, "tab").where(fits).select("a", "b").distinct()
+    A cluster holds all nodes that are joined by common tables, its hub met in most of them.  For a
+    node that shares at least half of the hub (``near``), ``items`` are the ``s`` shingles that only
+    one of the two has, at most twice its own; for others all its shingles.
+    """
+    lowest = rows.groupBy("tab").agg(F.min("node").alias("a"))
+    joined = components(rows.join(lowest, "tab").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    open_nodes = rows.groupBy("node", "n", "m").agg(F.count(F.lit(1)).alias("tabs")).join(joined.withColumnRenamed("component", "cluster"), "node")
+    open_nodes = stage(open_nodes, "mhclusters")
+    hub = open_nodes.groupBy("cluster").agg(F.max(F.struct("tabs", F.col("m") / F.col("n"), "node", "n")).alias("h")).select("cluster", F.col("h.node").alias("hub"), F.col("h.n").alias("n_hub"))
+    hub = stage(hub.join(sets.select(F.col("node").alias("hub"), F.col("items").alias("y")), "hub"), "mhclusterhubs")
+    both = open_nodes.select("node", "n", "cluster").join(sets, "node").join(hub, "cluster")
+    both = both.withColumn("lost", F.array_except("y", "items"))
+    near = 2 * F.size("lost") <= F.col("n_hub")
+    items = F.when(near, F.concat("lost", F.array_except("items", "y"))).otherwise(F.col("items"))
+    return stage(both.select("node", "n", "cluster", "hub", "n_hub", near.alias("near"), F.size(items).cast("long").alias("s"), items.alias("items"), F.when(near, F.col("items")).alias("whole")), "mhdiffs")
+
+
+def _left_over(diffs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a cluster in different components that may be linked.
+
+    Texts x and y of sizes n, m are linked if they differ in at most (n + m)(100 - p)/(100 + p)
+    shingles; they differ in |X| + |Y| - 2 |X & Y|, where X and Y are their differences from the
+    hub (or from the empty set, for a pair with a text far from the hub).  So X and Y must have
+    enough in common, or none at all; then both are linked with the hub and in one component.  With
+    the rarest items first, the first common one must leave enough items in either list.
+    """
+    far = diffs.where(~F.col("near")).select("cluster").distinct()
+    by_hub = diffs.where("near").select("node", "n", "cluster", "s", "near", F.lit(True).alias("by_hub"), (-(100 - percent) * F.col("n_hub")).alias("low"), F.explode("items").alias("item"))
+    whole = diffs.join(far, "cluster", "left_semi").withColumn("items", F.coalesce("whole", "items"))
+    plain = whole.select("node", "n", "cluster", F.size("items").cast("long").alias("s"), "near", F.lit(False).alias("by_hub"), F.floor(2 * percent * percent * F.col("n") / 100).alias("low"), F.explode("items").alias("item"))
+    items = stage(by_hub.unionByName(plain).join(label, "node"), "mhitems")
+    keys = ["cluster", "by_hub", "item"]
+    live = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.min("near").alias("all_near"))
+    live = stage(live.where("c_low < c_high AND (by_hub OR NOT all_near)").select(*keys, "c"), "mhlive")
+    same = ["node", "n", "cluster", "s", "near", "by_hub", "low", "component"]
+    listed = items.join(live, keys).groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("list"))
+    placed = listed.select(*same, F.size("list").alias("k"), F.posexplode("list").alias("at", "x"))
+    share = 2 * (100 + percent) * (F.col("k") - F.col("at"))
+    g = (100 + percent) * F.col("s") - (100 - percent) * F.col("n")
+    placed = stage(placed.withColumns({"share": share, "g": g}).where("share >= g + low").select("node", "cluster", "near", "by_hub", "component", "share", "g", F.col("x.item").alias("item")), "mhplaced")
+    x, y = (placed.select(*keys, F.col("node").alias(k), *[F.col(v).alias(v + k) for v in ("near", "component", "share", "g")]) for k in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & (F.least("sharea", "shareb") >= F.col("ga") + F.col("gb")) & (F.col("by_hub") | ~(F.col("neara") & F.col("nearb")))
+    return x.join(y, keys).where(fits).select("a", "b").distinct()
