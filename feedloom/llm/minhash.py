@@ -174,13 +174,15 @@ def _open_rows(tables: DataFrame, hubs: DataFrame, info: DataFrame, sets: DataFr
 def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, n, cluster, hub, n_hub, near, s, items`` of open nodes: what each differs in from its cluster's hub.
 
-    A cluster holds all nodes that are joined by common tables, its hub met in most of them.  For a
+    A cluster holds the components that are joined by common tables, its hub met in most of them.  For a
     node that shares at least half of the hub (``near``), ``items`` are the ``s`` shingles that only
     one of the two has, at most twice its own; for others all its shingles.
     """
-    lowest = rows.groupBy("tab").agg(F.min("node").alias("a"))
-    joined = components(rows.join(lowest, "tab").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    open_nodes = rows.groupBy("node", "n", "m").agg(F.count(F.lit(1)).alias("tabs")).join(joined.withColumnRenamed("component", "cluster"), "node")
+    held = rows.select("tab", "component").distinct()
+    lowest = held.groupBy("tab").agg(F.min("component").alias("a"))
+    joined = components(held.join(lowest, "tab").where("a < component").select("a", F.col("component").alias("b")).distinct())
+    joined = joined.select(F.col("component").alias("cluster"), F.col("node").alias("component"))
+    open_nodes = rows.groupBy("node", "n", "m", "component").agg(F.count(F.lit(1)).alias("tabs")).join(joined, "component")
     open_nodes = stage(open_nodes, "mhclusters")
     hub = open_nodes.groupBy("cluster").agg(F.max(F.struct("tabs", F.col("m") / F.col("n"), "node", "n")).alias("h")).select("cluster", F.col("h.node").alias("hub"), F.col("h.n").alias("n_hub"))
     hub = stage(hub.join(sets.select(F.col("node").alias("hub"), F.col("items").alias("y")), "hub"), "mhclusterhubs")
