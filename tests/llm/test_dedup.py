@@ -67,6 +67,21 @@ def test_near_classes_equal_all_pairs(table, rows, size):
     assert sorted((r.component_id is None, r.kept) for r in got if r.doc_id is None) == [(False, False), (True, True)]
 
 
+def test_edited_copies_on_both_sides_of_the_bound(table, prose):
+    base, r, texts = prose(90, 7).split(" "), random.Random(11), []
+    for k in range(150):  # from the base, from an edited copy, or half of each of two texts
+        w = list(texts[r.randrange(len(texts))] if texts and k % 3 == 0 else base)
+        if k % 10 == 9:
+            w = w[: r.randrange(30, 60)] + prose(40, 500 + k % 20).split(" ")
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(25)}"
+        texts.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(r.sample(texts, len(texts)))]
+    want = near(rows, 4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_classes(table(rows), size=4).collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+
+
 def test_near_classes_of_the_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = near([(r.doc_id, r.text) for r in docs.collect()], 5)
