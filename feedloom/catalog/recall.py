@@ -30,7 +30,7 @@ from feedloom.session import stage
 from feedloom.sources import adapters as A
 
 SPARSE = ItemCfRules(min_cooccurrence=0.5, shrinkage=1.0)
-SHORT_WALKS = GraphRules(walk_length=4, walks_per_node=2, context_window=2, max_pairs=0)
+SHORT_WALKS = GraphRules(walk_length=4, walks_per_node=2, context_window=2)
 CELLS = VectorRules(cells=16, probes=4)
 
 

@@ -76,7 +76,6 @@ class GraphRules:
     walk_length: int = 16
     walks_per_node: int = 3
     context_window: int = 4
-    max_pairs: int = 3_000_000
     dim: int = 64
     epochs: int = 2
     candidate_topk: int = 300
@@ -90,7 +89,6 @@ class VectorRules:
     similarity: str = "cosine"
     cells: int = 256
     probes: int = 32
-    train_rows: int = 50_000
     topk: int = 500
     block_rows: int = 4096
     seed: int = 2026

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from feedloom.config import PopularRules
 from feedloom.functions.columns import num
+from feedloom.functions.ordering import dense_numbers, ranked
+from feedloom.session import stage
 
 
 def item_counts(train: DataFrame) -> DataFrame:
@@ -81,31 +83,38 @@ def popular_candidates(
     history: DataFrame | None = None,
     exclude_seen: bool = True,
 ) -> DataFrame:
-    """The popular list minus what each user has seen, at most ``topk`` each.
+    """The popular list minus what each user has seen, the first ``topk`` of each.
 
-    The pool is the first 3 * topk popular rows, held as one small array.  History
-    is first cut to pool items, so a user's seen list stays below the pool size
-    whatever the length of the log; no user-by-item product is shuffled.
+    The list is read in blocks of ``topk`` rows.  A seen item with fewer than ``topk`` unseen ones
+    before it moves the user's end by one place, so each user reads the blocks up to that end and
+    none beyond; no user-by-item product is formed, and a row holds at most one block.
     """
-    pool_size = max(3 * topk, topk)
     ids = users.select("user_id").distinct()
-    if exclude_seen and history is not None:
-        pool = items.orderBy("popular_rank", "video_id").limit(pool_size).select("video_id")
-        seen = (
-            history.select("user_id", "video_id")
-            .join(pool, "video_id", "left_semi")
-            .groupBy("user_id")
-            .agg(F.collect_set("video_id").alias("_seen"))
-        )
-        ids = ids.join(seen, "user_id", "left")
-    else:
-        ids = ids.withColumn("_seen", F.lit(None).cast("array<bigint>"))
-    listed = ids.withColumn("_pool", _as_array(items, F.col("popular_rank"), pool_size))
-    fresh = F.filter(
-        F.coalesce("_pool", F.array().cast("array<struct<r:bigint,v:bigint,s:double>>")),
-        lambda x: F.col("_seen").isNull() | ~F.array_contains(F.col("_seen"), x["v"]),
+    if not exclude_seen or history is None:
+        listed = ids.withColumn("_p", _as_array(items, F.col("popular_rank"), topk))
+        return _candidate_rows(listed.select("user_id", F.explode("_p").alias("x")))
+    listed = items.select(
+        F.col("popular_rank").cast("bigint").alias("r"),
+        F.col("video_id").alias("v"),
+        F.col("source_score").cast("double").alias("s"),
     )
-    return listed.select("user_id", F.explode(F.slice(fresh, 1, topk)).alias("x")).select(
+    placed = dense_numbers(listed, [F.col("r").asc(), F.col("v").asc()], "p", "popular-places")
+    block = F.floor((F.col("p") - 1) / topk).cast("bigint")
+    blocks = placed.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("p", "r", "v", "s"))).alias("rows"))
+    seen = history.select("user_id", F.col("video_id").alias("v")).join(placed.select("v", "p"), "v").select("user_id", "p").distinct()
+    seen = ranked(seen.join(ids, "user_id", "left_semi"), "user_id", [F.col("p").asc()], "j")
+    before = seen.where(F.col("p") - F.col("j") < topk).groupBy("user_id", block.alias("block")).agg(F.collect_list("p").alias("gone"))
+    before = stage(before, "popular-seen")
+    ends = before.groupBy("user_id").agg(F.sum(F.size("gone")).alias("n"))
+    ends = ids.join(ends, "user_id", "left").select("user_id", (F.coalesce("n", F.lit(0)) + topk).alias("end"))
+    wanted = ends.select("user_id", "end", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("end") - 1) / topk).cast("bigint"))).alias("block"))
+    held = wanted.join(before, ["user_id", "block"], "left").join(blocks, "block")
+    fresh = F.filter("rows", lambda x: (x["p"] <= F.col("end")) & (F.col("gone").isNull() | ~F.array_contains("gone", x["p"])))
+    return _candidate_rows(held.select("user_id", F.explode(fresh).alias("x")))
+
+
+def _candidate_rows(listed: DataFrame) -> DataFrame:
+    return listed.select(
         "user_id",
         F.col("x.v").alias("video_id"),
         F.lit("popular").alias("recall_source"),

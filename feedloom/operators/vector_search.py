@@ -47,10 +47,9 @@ def _pivots(items: DataFrame, rules: VectorRules) -> np.ndarray:
 
 
 def _kmeans_centers(items: DataFrame, rules: VectorRules, n_items: int) -> np.ndarray:
-    """k-means centres learned from at most ``train_rows`` hash-chosen items."""
+    """k-means centres learned from all items."""
     k = max(1, min(rules.cells, n_items))
-    train = items.orderBy(md5_key(rules.seed, F.col("id")), "id").limit(max(rules.train_rows, k))
-    vec = train.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    vec = items.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     if k == 1:
         return np.asarray([vec.select(Summarizer.mean(F.col("features"))).first()[0].toArray()])
     model = KMeans(k=k, seed=rules.seed, maxIter=10).fit(vec)

@@ -45,7 +45,6 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType,
     table: str,
-    limit: int | None = None,
 ) -> DataFrame:
     """Header CSV projected to ``schema`` by column name; extra columns are dropped.
 
@@ -54,8 +53,7 @@ def read_csv(
     """
     raw = spark.read.csv(path, header=True, inferSchema=False)
     require_columns(raw.columns, schema.fieldNames(), table)
-    out = _typed(raw, schema)
-    return out.limit(limit) if limit is not None else out
+    return _typed(raw, schema)
 
 
 def read_logs(
@@ -63,27 +61,20 @@ def read_logs(
     paths: list[str],
     random_paths: list[str] | None = None,
     include_random: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """Union of the log files, each row tagged with its ``source_file``."""
     files = list(paths) + (list(random_paths or []) if include_random else [])
     if not files:
         raise ValueError("no log files configured")
-    if limit is None:
-        typed = T.StructType(LOG_SCHEMA.fields + [T.StructField("source_file", T.StringType())])
-        by_header: dict[tuple[str, ...], list[str]] = {}  # one read takes all its files by one header
-        for p in files:
-            by_header.setdefault(tuple(spark.read.csv(p, header=True, inferSchema=False).columns), []).append(p)
-        parts = []
-        for header, same in by_header.items():
-            require_columns(list(header), LOG_COLUMNS, "log")
-            raw = spark.read.csv(same, header=True, inferSchema=False)
-            parts.append(_typed(raw.select("*", F.col("_metadata.file_name").alias("source_file")), typed))
-        return reduce(DataFrame.unionByName, parts)
-    parts = [
-        read_csv(spark, p, LOG_SCHEMA, p, limit).withColumn("source_file", F.lit(p.rstrip("/").split("/")[-1]))
-        for p in files
-    ]
+    typed = T.StructType(LOG_SCHEMA.fields + [T.StructField("source_file", T.StringType())])
+    by_header: dict[tuple[str, ...], list[str]] = {}  # one read takes all its files by one header
+    for p in files:
+        by_header.setdefault(tuple(spark.read.csv(p, header=True, inferSchema=False).columns), []).append(p)
+    parts = []
+    for header, same in by_header.items():
+        require_columns(list(header), LOG_COLUMNS, "log")
+        raw = spark.read.csv(same, header=True, inferSchema=False)
+        parts.append(_typed(raw.select("*", F.col("_metadata.file_name").alias("source_file")), typed))
     return reduce(DataFrame.unionByName, parts)
 
 

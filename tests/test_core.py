@@ -124,6 +124,15 @@ def test_popular_keeps_global_rank(spark):
     assert rows(got, "video_id", "source_rank") == [(2, 2), (3, 3)]
 
 
+def test_popular_candidates_go_past_any_number_of_seen_items(spark):
+    items = spark.createDataFrame([(i, i, 10.0 - i) for i in range(1, 9)], "video_id long, popular_rank long, source_score double")
+    users = spark.createDataFrame([(7,), (8,), (9,), (10,)], "user_id long")
+    log = [(7, v) for v in (1, 2, 3, 4, 5, 5, 99)] + [(8, 2), (8, 8)] + [(10, v) for v in range(1, 8)]
+    seen = spark.createDataFrame(log, "user_id long, video_id long")
+    got = popular_candidates(users, items, 2, seen).orderBy("user_id", "source_rank")
+    assert rows(got, "user_id", "video_id") == [(7, 6), (7, 7), (8, 1), (8, 3), (9, 1), (9, 2), (10, 8)]
+
+
 def test_popular_policy_without_rank_sorts_best_first(spark):
     items = spark.createDataFrame([(1, 1.0), (2, 9.0), (3, 5.0)], "video_id long, source_score double")
     users = spark.createDataFrame([(7,), (8,)], "user_id long")

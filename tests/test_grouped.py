@@ -133,14 +133,13 @@ def test_profiles_and_attention(spark):
 
 def test_walks_stop_at_sinks(spark):
     edges = spark.createDataFrame([(1, 2, 1.0, 1), (2, 3, 1.0, 1)], "video_id long, neighbor_video_id long, edge_weight double, neighbor_rank int")
-    rules = GraphRules(walk_length=7, walks_per_node=2, context_window=1, max_pairs=0)
+    rules = GraphRules(walk_length=7, walks_per_node=2, context_window=1)
     walks = random_walks(edges, rules)
     assert {tuple(r["walk"]) for r in walks.collect()} == {(1, 2, 3), (2, 3)}
     pairs = skipgram_pairs(walks, rules)
     assert pairs.count() == 12
     with pytest.raises(ValueError):
         skipgram_pairs(walks.filter("start = 9"), rules)
-    assert skipgram_pairs(walks, GraphRules(context_window=1, max_pairs=5)).count() == 5
 
 
 def test_hot_user_keeps_the_right_tail(spark):
