@@ -191,7 +191,9 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     texts = by_key(by_key(rows, if_small(recurring.select(*keys)), keys, "left_semi"), recurring, keys)
     firsts = _index_rows(texts, window, gram).groupBy("window").agg(F.min("place").alias("place"))
     firsts = firsts.groupBy(F.shiftright("place", SHIFT).alias("num")).agg(F.collect_list(F.col("place").bitwiseAND((1 << SHIFT) - 1).cast("int")).alias("firsts"))
-    spans = stage(recurring.join(firsts, "num").select(*keys, "anchors", "firsts"), "subfirsts")
+    # a text all of whose windows start earlier holds no first one, and goes whole
+    known = F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts")
+    spans = stage(recurring.join(firsts, "num", "left").select(*keys, "anchors", known), "subfirsts")
     texts = by_key(by_key(rows, if_small(spans.select(*keys)), keys, "left_semi"), spans, keys)
     return light, copies.select(*keys, "n_words"), stage(_factors(texts, window, gram, with_text), "subfactors")
 

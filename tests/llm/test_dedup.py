@@ -142,6 +142,17 @@ def test_without_duplicates_changes_only_what_repeats(table, rows):
     assert {r[0]: r[1] for r in spans if r[0] not in (None, 2)} == {i: v[1] for (i, _), v in want.items() if v[1] and i not in (None, 2)}
 
 
+def test_excerpts_of_earlier_texts_go_whole(table, prose):
+    words, passage = [f"w{k}" for k in range(200)], " ".join(f"p{k}" for k in range(30))
+    rows = [(1, " ".join(words)), (2, " ".join(words[40:120])), (3, " ".join(words[:60])), (4, f"{prose(25, 4)} {passage}"), (5, passage), (6, f"{passage} {prose(25, 5)}"), (7, " ".join(words[50:150] + words[10:40])), (None, " ".join(words[99:130]))]
+    want = plain_substring(rows)
+    assert [want[i, t][1] for i, t in rows] == [0, 80, 60, 0, 30, 30, 130, 31]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.duplicate_words(table(rows)).collect()} == {i: want[i, t][:3] for i, t in rows}
+    assert {r.doc_id: r.text for r in substring.without_duplicates(table(rows)).collect()} == {i: want[i, t][3] for i, t in rows}
+    spans = substring.duplicate_spans(table(rows)).groupBy("doc_id").sum("n_words").collect()
+    assert {r[0]: r[1] for r in spans} == {i: want[i, t][1] for i, t in rows if want[i, t][1]}
+
+
 def test_rules_equal_sql_on_odd_texts(spark, table, rows):
     docs = table([(k, t) for k, (_, t) in enumerate(rows)], clash=False)
     con = duckdb.connect()
