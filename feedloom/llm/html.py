@@ -2,8 +2,9 @@
 
 A page becomes a tree of its block elements.  Each node has a composite text density: characters
 per tag, adjusted by how much of the text and of the tags are links.  The node whose children's
-densities have the largest sum holds the article; inside it, link-heavy parts below the least
-density on the path from it to the body go.
+densities have the largest sum is the surest part of the article; the least density on the path from
+it to the body is the threshold.  All parts of the body that reach it are the text, in page order,
+and so are headings beside them; link-heavy parts below it go.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,7 @@ SELF_CLOSING = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a page that are never article text: by element, by role, and by a word of class or id.
 DROP = frozenset("nav footer aside form button select input dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -49,7 +52,7 @@ SPLIT_NAME = re.compile(r"[^a-z]+")
 class Node:
     """A block element: its parts are strings and nodes; links count characters of its own text."""
 
-    __slots__ = ("tag", "parts", "links", "dropped", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parts", "links", "dropped", "own", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
     def __init__(self, tag: str, dropped: bool):
         self.tag, self.dropped = tag, dropped
@@ -168,7 +171,8 @@ def main_text(page: str) -> str:
         kids = [p for p in node.parts if isinstance(p, Node) and not p.dropped and p.tag != "head"]
         for k in kids:
             parent[id(k)] = node
-        node.chars = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str)) + sum(k.chars for k in kids)
+        node.own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        node.chars = node.own + sum(k.chars for k in kids)
         node.tags = len(kids) + node.link_tags + sum(k.tags for k in kids)
         node.link_chars = node.links + sum(k.link_chars for k in kids)
         node.link_tags += sum(k.link_tags for k in kids)
@@ -189,6 +193,11 @@ def main_text(page: str) -> str:
     while node is not body and id(node) in parent:
         node = parent[id(node)]
         limit = min(limit, node.density)
+
+    def reaches(c: int) -> bool:
+        """Whether a run of ``c`` characters beside the blocks of its element is as dense as the threshold."""
+        return c > 0 and c * math.log(c) / math.log(math.log(share * c + math.e) + 1) >= limit
+
     blocks: list[str] = []
     current: list[str] = []
 
@@ -198,17 +207,32 @@ def main_text(page: str) -> str:
             blocks.append(block)
         current.clear()
 
-    todo: list = [best]
+    # each part, and whether it lies in a subtree that reaches the threshold
+    todo: list = [(body, body is best)]
     while todo:
-        part = todo.pop()
+        part, inside = todo.pop()
         if part is None:
             flush()
         elif isinstance(part, str):
             current.append(part)
-        elif not part.dropped and part.tag != "head" and not (part is not best and part.density < limit and 2 * part.link_chars > part.chars):
+        elif not part.dropped and part.tag != "head":
+            linked = 2 * part.link_chars > part.chars
+            if inside and part is not body and part.density < limit and linked:
+                continue
+            inside = inside or (part is not body and (part.density >= limit or (part.tag in HEADINGS and not linked)))
             flush()
-            todo.append(None)
-            todo += reversed(part.parts)
+            todo.append((None, inside))
+            if inside:
+                todo += [(p, True) for p in reversed(part.parts)]
+                continue
+            rest: list = []
+            for is_text, run in groupby(part.parts, lambda p: isinstance(p, str)):
+                run = list(run)
+                if not is_text:
+                    rest += [(p, False) for p in run]
+                elif 2 * part.links <= part.own and reaches(len("".join("".join(run).split()))):
+                    rest += [(p, True) for p in run]
+            todo += reversed(rest)
     flush()
     return "\n\n".join(blocks)
 

@@ -74,6 +74,18 @@ def test_links_and_menus_without_names_go():
     assert html.main_text(page).startswith("Title\n\nSome plain") and "menu" not in html.main_text(page)
 
 
+def test_all_parts_of_an_article_stay():
+    title, p = "A title of thirty characters..", [f"{k:02} " + "plain words " * 16 for k in range(12)]
+    both = [x.strip() for x in p]
+    section = ["<section>" + "".join(f"<p>{x}" for x in half) + "</section>" for half in (p[:6], p[6:])]
+    menu = "<ul>" + "<li><a href=x>menu entry</a>" * 9 + "</ul>"
+    assert html.main_text(f"<body>{menu}<article><h1>{title}</h1>{section[0]}{section[1]}</article>{menu}</body>") == "\n\n".join([title, *both])
+    assert html.main_text(f"<body><article><h1>{title}</h1><div class=body>{section[0]}</div></article></body>") == "\n\n".join([title, *both[:6]])
+    assert html.main_text(f"<body><h1>{title}</h1>{section[0]}{menu}{section[1]}<div>All rights kept.</div></body>") == "\n\n".join([title, *both])
+    loose = "<br>".join(p[6:])
+    assert html.main_text(f"<body><div><a href=x>Home</a></div>{loose}{section[0]}</body>") == "\n\n".join([" ".join(both[6:]), *both[:6]])
+
+
 def test_url_lists_over_time(spark):
     d = datetime.date
     entries = spark.createDataFrame(
