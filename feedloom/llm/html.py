@@ -52,25 +52,35 @@ SPLIT_NAME = re.compile(r"[^a-z]+")
 class Node:
     """A block element: its parts are strings and nodes; links count characters of its own text."""
 
-    __slots__ = ("tag", "parts", "links", "dropped", "own", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parts", "links", "dropped", "suspect", "own", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped = tag, dropped
+    def __init__(self, tag: str, dropped: bool, suspect: bool = False):
+        self.tag, self.dropped, self.suspect = tag, dropped, suspect
         self.parts: list = []
         self.links = self.link_tags = 0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a block goes, and whether it goes if most of it is links.
+
+    Outside article and main one word of a class or id is enough.  Inside them ``entry-header`` or
+    ``related-work`` may be of the article: there a whole class or id has to match.
+    """
     if tag in DROP or (tag == "header" and not in_article):
-        return True
+        return True, False
+    suspect = False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in ROLES:
-                return True
-        elif tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(SPLIT_NAME.split(value)):
-            return True
-    return False
+                return True, False
+        elif tag not in ("body", "html", "article", "main"):
+            if NAMES.isdisjoint(SPLIT_NAME.split(value)):
+                continue
+            if not in_article or not (NAMES - {"header"}).isdisjoint(value.split()):
+                return True, False
+            suspect = True
+    return False, suspect
 
 
 def parse(page: str) -> Node:
@@ -147,7 +157,7 @@ def parse(page: str) -> Node:
                 block.link_tags += 1
             stack.append((tag, block, link or tag == "a"))
         else:
-            child = Node(tag, _unwanted(tag, m[3], any(t in ("article", "main") for t, _, _ in stack)))
+            child = Node(tag, *_unwanted(tag, m[3], any(t in ("article", "main") for t, _, _ in stack)))
             block.parts.append(child)
             stack.append((tag, child, link))
     return root
@@ -176,6 +186,8 @@ def main_text(page: str) -> str:
         node.tags = len(kids) + node.link_tags + sum(k.tags for k in kids)
         node.link_chars = node.links + sum(k.link_chars for k in kids)
         node.link_tags += sum(k.link_tags for k in kids)
+        node.dropped = node.suspect and 2 * node.link_chars > node.chars
+    nodes = _walk(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if not body.chars:
         body = root

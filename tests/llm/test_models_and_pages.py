@@ -86,6 +86,18 @@ def test_all_parts_of_an_article_stay():
     assert html.main_text(f"<body><div><a href=x>Home</a></div>{loose}{section[0]}</body>") == "\n\n".join([" ".join(both[6:]), *both[:6]])
 
 
+def test_names_inside_an_article():
+    p = "<p>" + "Some plain text that goes on for a while. " * 5
+    for name in ("class=entry-header", "class='post-header wide'", "class=header", "class=related-work", "id=search-methods", "class=social-science"):
+        assert html.main_text(f"<body><article><div {name}><h1>Title</h1></div>{p * 4}</article></body>").startswith("Title\n\nSome plain"), name
+    assert "Mind the gap." in html.main_text(f"<body><main>{p * 2}<p class=notice-period>Mind the gap.{p * 2}</main></body>")
+    for name in ("class=share", "class='wide ad'", "id=comments", "class=share-buttons", "class=related-posts"):
+        assert "Gone" not in html.main_text(f"<body><article>{p * 4}<div {name}><a href=x>Gone</a></div></article></body>"), name
+    for name in ("class=ad", "id=newsletter"):
+        assert "Gone" not in html.main_text(f"<body><article>{p * 4}<div {name}>Gone</div></article></body>"), name
+    assert "Gone" not in html.main_text(f"<body><div class=cookie-notice>Gone</div><div class=site-header>Gone</div><article>{p * 4}</article></body>")
+
+
 def test_url_lists_over_time(spark):
     d = datetime.date
     entries = spark.createDataFrame(
