@@ -61,10 +61,14 @@ class Inputs:
 
     @cached_property
     def item_vectors(self) -> DataFrame:
-        """Embedding rows of the catalogue's items."""
+        """Embedding rows of the logged items, for profiles; ``all_vectors`` is what a search looks through."""
         v = A.vectors(self.spark, self.sf_dir).select("id", "vector")
         return v.join(self.items.select(F.col("video_id").alias("id")), "id", "left_semi")
 
+    @cached_property
+    def all_vectors(self) -> DataFrame:
+        return A.vectors(self.spark, self.sf_dir).select("id", "vector")
+
 
 def orders(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(spark, sf_dir, "orders")

@@ -150,7 +150,7 @@ def channels(x, split="test"):
     return {
         "popular": stage(popular_candidates(users, popular_items(x.train), 300, x.train), "c-popular"),
         "itemcf": stage(itemcf_candidates(mine, itemcf_neighbors(x.train)), "c-itemcf"),
-        "graph_emb": stage(vector_candidates(prof, x.item_vectors, 300, "graph_emb", x.train, CELLS), "c-graph"),
+        "graph_emb": stage(vector_candidates(prof, x.all_vectors, 300, "graph_emb", x.train, CELLS), "c-graph"),
     }
 
 

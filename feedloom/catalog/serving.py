@@ -123,7 +123,7 @@ def serve(spark, sf):
     ev = _batch_events(spark, sf)
     states = stage(fold_feedback(ev), "states")
     prof = stage(recency_profiles(positive_sequences(x.train), x.item_vectors), "profiles")
-    assets = Assets(items=x.items, popular=popular_items(x.train), item_vectors=x.item_vectors, user_vectors=prof)
+    assets = Assets(items=A.vector_items(spark, sf), popular=popular_items(x.train), item_vectors=x.all_vectors, user_vectors=prof)
     requests = ev.groupBy("user_id").agg(F.lit(10).alias("top_k"))
     out = recommend_batch(requests, states, assets, vectors=CELLS)
     return rounded(out.select("user_id", "video_id", "final_rank", "rerank_score"), "rerank_score", digits=4)

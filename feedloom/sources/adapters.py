@@ -124,6 +124,16 @@ def events_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "events").select(
         F.get_json_object("props", "$.k").try_cast("bigint").alias("video_id")
     ).filter("video_id is not null").distinct()
+    return _made_items(k)
+
+
+def vector_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event items and every item that has a vector, with the same made authors and tags."""
+    k = vectors(spark, sf_dir).select(F.col("id").cast("bigint").alias("video_id")).filter("video_id is not null")
+    return _made_items(k.unionByName(events_items(spark, sf_dir).select("video_id")).distinct())
+
+
+def _made_items(k: DataFrame) -> DataFrame:
     return prepare_items(
         k.select(
             "video_id",
