@@ -72,8 +72,8 @@ def counts_tag(spark, sf):
 
 
 def merged_orders(x, split="test"):
-    """Fused candidates of the sparse adapter with their label, staged once."""
-    m = merge_candidates([stage(f, "channel") for f in _two_channels(x).values()])
+    """Fused candidates of the sparse adapter for the users of a split, with that split's label, staged once."""
+    m = merge_candidates([stage(f, "channel") for f in _two_channels(x, split).values()])
     return stage(attach_label(m, x.splits[split]), "merged")
 
 
@@ -190,8 +190,8 @@ def rate_scores(x, cand):
     return out.withColumn("rank_score", rank_score()).drop(*[c for c in s.columns if c != "video_id"])
 
 
-def coarse_cut(x):
-    return coarse_topk(degraded_scores(merged_orders(x)), 100)
+def coarse_cut(x, split="test"):
+    return coarse_topk(degraded_scores(merged_orders(x, split)), 100)
 
 
 def cut_lists(spark, sf):
@@ -206,7 +206,7 @@ def cut_metrics(spark, sf):
 
 
 def ranked_orders(x, split="test"):
-    labelled = coarse_cut(x).join(task_labels(x.splits[split]), ["user_id", "video_id"], "left").fillna(0, ["long_watch", "finish", "like"])
+    labelled = coarse_cut(x, split).join(task_labels(x.splits[split]), ["user_id", "video_id"], "left").fillna(0, ["long_watch", "finish", "like"])
     labelled = labelled.withColumn("rank_label", F.greatest("long_watch", "finish", "like"))
     return stage(ranked_candidates(rate_scores(x, labelled)), "ranked")
 
@@ -259,11 +259,8 @@ def rerank_effect(spark, sf):
 
 def _model_frames(x):
     """Labelled coarse frames: validation-split users for fitting, test users for scoring."""
-    users = x.val.select("user_id").distinct()
-    pop = popular_items(x.train)
-    fit = attach_label(popular_candidates(users, pop, 300, x.train), x.val)
-    fit = stage(sample_negatives(fit, "val", PRERANK_SAMPLING), "fit")
-    score = attach_label(popular_candidates(x.test.select("user_id"), pop, 300, x.train), x.test)
+    fit = stage(sample_negatives(merged_orders(x, "val"), "val", PRERANK_SAMPLING), "fit")
+    score = merged_orders(x, "test")
     a, b = stage(_coarse(x, fit, "val"), "fit-frame"), stage(_coarse(x, score, "test"), "score-frame")
     _, numeric = coarse_columns(a, ORDER_FEATURES)
     return a, b, numeric
@@ -274,14 +271,14 @@ def _auc_of(scored, name):
 
 
 def coarse_trees(spark, sf):
-    fit, score, cols = _model_frames(orders(spark, sf))
+    fit, score, cols = _model_frames(orders(spark, sf).staged())
     held = F.pmod(F.xxhash64("user_id"), F.lit(5)) == 0
     model = fit_trees(fit.filter(~held), cols, validation=fit.filter(held), rounds=8, depth=4)
     return _auc_of(predict(score, model, cols, "coarse_score"), "trees")
 
 
 def coarse_mlp(spark, sf):
-    fit, score, cols = _model_frames(orders(spark, sf))
+    fit, score, cols = _model_frames(orders(spark, sf).staged())
     prof = stage(numeric_profile(fit, cols), "profile")
     model = fit_mlp(zscore(fit, prof, cols), cols, hidden=(16, 8), rounds=20)
     return _auc_of(predict(zscore(score, prof, cols), model, cols, "coarse_score"), "mlp")
@@ -289,9 +286,7 @@ def coarse_mlp(spark, sf):
 
 def fine_tasks(spark, sf):
     x = orders(spark, sf).staged()
-    pop = popular_items(x.train)
-    fit = degraded_scores(popular_candidates(x.val.select("user_id"), pop, 100, x.train).withColumn("merged_score", F.col("source_score")))
-    test = degraded_scores(popular_candidates(x.test.select("user_id"), pop, 100, x.train).withColumn("merged_score", F.col("source_score")))
+    fit, test = stage(coarse_cut(x, "val"), "fine-cut-val"), stage(coarse_cut(x, "test"), "fine-cut-test")
     a = sample_negatives(stage(_fine(x, fit, "val"), "fine-fit"), "val", RANK_SAMPLING, "rank_label")
     _, cols = fine_columns(a, ORDER_FEATURES)
     models = fit_tasks(a, cols, rounds=3, depth=3)

@@ -166,9 +166,9 @@ MERGED = ["user_id", "video_id", "recall_source", "source_score", "source_rank",
           "popular_score", "popular_rank", "itemcf_score", "itemcf_rank"]
 
 
-def _two_channels(x):
-    """popular and itemcf of the sparse adapter for its test users."""
-    users = x.test.select("user_id").distinct()
+def _two_channels(x, split="test"):
+    """popular and itemcf of the sparse adapter for the users of a split."""
+    users = x.splits[split].select("user_id").distinct()
     mine = x.sequences.join(users, "user_id", "left_semi")
     return {
         "popular": popular_candidates(users, popular_items(x.train), 300, x.train),

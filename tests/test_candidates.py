@@ -1,7 +1,7 @@
 """Which items the registered queries search, and of which split their candidates are."""
 
-from feedloom.catalog import recall, serving
-from feedloom.catalog.inputs import events
+from feedloom.catalog import ranking, recall, serving
+from feedloom.catalog.inputs import events, orders
 
 
 def test_searches_look_through_all_vectors(spark, small):
@@ -13,3 +13,13 @@ def test_searches_look_through_all_vectors(spark, small):
     assert {r.video_id for r in merged} - logged and {r.video_id for r in merged} <= vectors
     shown = {r.video_id for r in serving.serve(spark, small).select("video_id").collect()}
     assert shown - logged and shown <= vectors | logged
+
+
+def test_models_fit_and_score_on_merged_candidates_of_their_split(spark, small):
+    x = orders(spark, small).staged()
+    for frame, split in zip(ranking._model_frames(x)[:2], ("val", "test"), strict=True):
+        rows = frame.select("user_id", "video_id", "label", "has_itemcf", "has_popular").collect()
+        truth = {(r.user_id, r.video_id) for r in x.splits[split].filter("is_positive = 1").select("user_id", "video_id").collect()}
+        assert rows and {r.user_id for r in rows} <= {r.user_id for r in x.splits[split].select("user_id").collect()}
+        assert all((r.label > 0) == ((r.user_id, r.video_id) in truth) for r in rows)
+        assert any(r.has_itemcf for r in rows) and any(r.has_popular for r in rows)
