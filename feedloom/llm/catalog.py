@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import exact, html, langid, minhash, quality, rules, substring, urls
+from feedloom.llm import exact, html, langid, minhash, quality, repair, rules, substring, toxicity, trie, urls
 from feedloom.llm.bpe import bpe_digests
 from feedloom.llm.common import documents
 from feedloom.llm.packing import pack_documents
@@ -75,3 +75,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_conversation_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
