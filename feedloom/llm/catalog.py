@@ -87,6 +87,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@query("op13_conversation_trie")
+@query("op13_conversation_trie", trie.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

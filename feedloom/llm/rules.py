@@ -169,10 +169,8 @@ def _sql() -> str:
     return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ 	-
-]+', '', 'g') <> '') AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS lines
   FROM documents
 ), windows AS (
   SELECT doc_id, unnest(generate_series(1, len(words) - 2)) AS i, unnest(list_transform(generate_series(1, len(words) - 2), lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2])) AS t FROM w

@@ -317,3 +317,25 @@ def prefix_trie(conversations: DataFrame, most: int = MOST) -> DataFrame:
     inner = tail(alone.where("NOT p_many OR d = 1"), F.when(F.col("d") == 1, F.lit(least)).otherwise(F.col("conv_id")))
     border = tail(alone.where("p_many AND d > 1").join(parents, ["d", "p1", "p2"]), F.col("parent"))
     return shared.unionByName(inner).unionByName(border)
+
+
+_KEY = "length(role) || ':' || length(text) || ':' || role || text"
+_CRC = "list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x) + 1), lambda i: ascii(substr(x, i, 1))::BIGINT), lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))"
+SQL = f"""
+WITH own AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+  ids AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS x FROM own GROUP BY conv_id),
+  hs AS (SELECT conv_id, n, conv_id - conv_id % {BLOCK} AS base, xor({_CRC}, 4294967295) % {HEAD + 1} AS h FROM ids),
+  plans AS (SELECT hs.conv_id, hs.h, hs.base, least(hs.h, coalesce(b.n, 0)) AS taken, least(hs.h, coalesce(b.n, 0)) + greatest(hs.n - hs.h, 0) AS total FROM hs LEFT JOIN ids b ON b.conv_id = hs.base),
+  built AS (SELECT p.conv_id, total, o.pos AS d, role, text FROM plans p JOIN own o ON o.conv_id = p.base AND o.pos <= p.taken
+    UNION ALL SELECT p.conv_id, total, p.taken + o.pos - p.h, role, text FROM plans p JOIN own o ON o.conv_id = p.conv_id AND o.pos > p.h),
+  way AS (SELECT conv_id, d, total, text, sha256(string_agg({_KEY}, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM built
+    UNION ALL SELECT conv_id, 0, total, '', '' FROM plans),
+  steps AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM way),
+  nodes AS (SELECT d, node, max(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(strlen(text)) AS saved,
+    bool_and(d = total) AS leaf, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = total), '')) AS ends_sha256 FROM steps GROUP BY d, node),
+  below AS (SELECT w.d, w.node, sum(n.saved) AS saved_tokens, count(*) FILTER (n.leaf) AS n_leaves FROM nodes n JOIN way w ON w.conv_id = n.conv_id AND w.d <= n.d GROUP BY w.d, w.node),
+  kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.d = n.d AND b.node = n.node LEFT JOIN kids k ON k.d = n.d AND k.node = n.node LEFT JOIN nodes u ON u.d = n.d - 1 AND u.node = n.up
+"""

@@ -154,7 +154,7 @@ def test_excerpts_of_earlier_texts_go_whole(table, prose):
 
 
 def test_rules_equal_sql_on_odd_texts(spark, table, rows):
-    docs = table([(k, t) for k, (_, t) in enumerate(rows)], clash=False)
+    docs = table([(k, t) for k, (_, t) in enumerate(rows)] + [(9001, "a\rb\fc d\x0be"), (9002, "\r\n\f\n \x0b")], clash=False)
     con = duckdb.connect()
     documents = docs.toPandas()  # noqa: F841
     cur = con.execute(rules.SQL)
