@@ -16,8 +16,6 @@ from feedloom.operators.recall_eval import recall_metrics, source_overlap
 from feedloom.operators.sequences import positive_sequences
 from feedloom.operators.vector_search import (
     exact_topk,
-    hash_topk,
-    ivf_topk,
     mean_vector,
     overlap,
     overlap_summary,
@@ -25,7 +23,9 @@ from feedloom.operators.vector_search import (
     vector_candidates,
     with_similarity,
 )
-from feedloom.operators.walks import node_vectors, random_walks, skipgram_pairs
+from feedloom.operators.ann import bucket_search, cell_search
+from feedloom.operators.node_embeddings import graph_vectors
+from feedloom.operators.walks import random_walks, skipgram_pairs
 from feedloom.session import stage
 from feedloom.sources import adapters as A
 
@@ -73,8 +73,8 @@ def pairs(spark, sf):
 
 
 def walk_vectors(spark, sf):
-    edges = stage(item_graph(events(spark, sf).train), "graph")
-    return node_vectors(random_walks(edges, GraphRules(walk_length=8, epochs=1))).select(
+    edges = stage(item_graph(orders(spark, sf).train), "graph")
+    return graph_vectors(stage(random_walks(edges), "walks")).select(
         "id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2")
     )
 
@@ -99,28 +99,25 @@ def exact(similarity):
     return run
 
 
-def cell_search(spark, sf):
-    v = stage(_all_vectors(spark, sf), "vectors")
-    return ivf_topk(v, v, 20, CELLS, _self_pairs(v))
-
+def near(search):
+    def run(spark, sf):
+        v = stage(_all_vectors(spark, sf), "vectors")
+        return search(v, v, 20, exclude=_self_pairs(v))
 
-def hash_search(spark, sf):
-    v = stage(_all_vectors(spark, sf), "vectors")
-    return hash_topk(v, v, 20, tables=6, bits=4, rules=CELLS, exclude=_self_pairs(v))
+    return run
 
 
 def search_overlap(spark, sf):
     v = stage(_all_vectors(spark, sf), "vectors")
     best = stage(exact_topk(v, v, 20, CELLS), "exact")
-    near = ivf_topk(v, v, 20, CELLS)
-    return overlap_summary(overlap(best, near, 20))
+    return overlap_summary(overlap(best, cell_search(v, v, 20), 20))
 
 
 def full_probe_overlap(spark, sf):
     """Probing every cell must find everything: a check of the cell path itself."""
     v = stage(_all_vectors(spark, sf), "vectors")
     best = stage(exact_topk(v, v, 10, CELLS), "exact")
-    return overlap_summary(overlap(best, ivf_topk(v, v, 10, replace(CELLS, probes=16)), 10))
+    return overlap_summary(overlap(best, cell_search(v, v, 10, probes=1 << 30), 10))
 
 
 def label_profiles(spark, sf):
@@ -246,8 +243,8 @@ QUERIES = {
     "node_vectors": walk_vectors,
     "vector_topk_cosine": exact("cosine"),
     "vector_topk_inner": exact("inner_product"),
-    "cell_topk": cell_search,
-    "hash_topk": hash_search,
+    "cell_topk": near(cell_search),
+    "hash_topk": near(bucket_search),
     "ann_overlap": search_overlap,
     "ann_overlap_full_probe": full_probe_overlap,
     "recency_profiles": label_profiles,

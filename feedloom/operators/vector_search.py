@@ -1,6 +1,5 @@
-"""Inner-product top-k: exact, cell-probing and hash-bucket search.
-
-All three share one scorer.  Queries and items that meet in a cell are cut into
+"""Inner-product top-k: the exact search, and the scorer it shares with the approximate ones.
+  Queries and items that meet in a cell are cut into
 blocks of bounded size, each block pair is one matrix product in one task, and
 only the best k of a block leave it.  A cell that holds a third of all items or
 queries becomes many block pairs.
@@ -12,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -46,16 +44,6 @@ def _pivots(items: DataFrame, rules: VectorRules) -> np.ndarray:
     return np.asarray([r["vector"] for r in rows], dtype=np.float64)
 
 
-def _kmeans_centers(items: DataFrame, rules: VectorRules, n_items: int) -> np.ndarray:
-    """k-means centres learned from all items."""
-    k = max(1, min(rules.cells, n_items))
-    vec = items.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    if k == 1:
-        return np.asarray([vec.select(Summarizer.mean(F.col("features"))).first()[0].toArray()])
-    model = KMeans(k=k, seed=rules.seed, maxIter=10).fit(vec)
-    return np.asarray(model.clusterCenters())
-
-
 def _nearest(centers: np.ndarray):
     """Arrow UDF: number of the closest centre and the distance to it."""
     sq = (centers**2).sum(axis=1)
@@ -72,15 +60,10 @@ def _nearest(centers: np.ndarray):
     return assign
 
 
-def build_cells(items: DataFrame, rules: VectorRules = VectorRules(), method: str = "kmeans") -> tuple[DataFrame, np.ndarray]:
+def build_cells(items: DataFrame, rules: VectorRules = VectorRules()) -> tuple[DataFrame, np.ndarray]:
     """(id, vector, cell, dist) as a written table, and the centre matrix (at most ``cells`` rows)."""
     base = items.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    if method == "pivots":
-        centers = _pivots(base, rules)
-    elif method == "kmeans":
-        centers = _kmeans_centers(base, rules, base.count())
-    else:
-        raise ValueError(f"unknown cell method: {method}")
+    centers = _pivots(base, rules)
     assigned = base.withColumn("a", _nearest(centers)("vector")).select(
         "id", "vector", F.col("a.cell").alias("cell"), F.col("a.dist").alias("dist")
     )
@@ -206,14 +189,13 @@ def _pairs_to_skip(exclude: DataFrame | None) -> DataFrame | None:
     return None if exclude is None else exclude.select("query_id", "item_id").distinct()
 
 
-def ivf_topk(
-    queries: DataFrame, items: DataFrame, k: int, rules: VectorRules = VectorRules(), exclude: DataFrame | None = None
-) -> DataFrame:
-    """Approximate: only the ``probes`` nearest cells of a query are searched."""
+def blocked_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 4096, exclude: DataFrame | None = None) -> DataFrame:
+    """Exact top-k of a stated query set against all items: one product for each pair of blocks."""
     skip = _pairs_to_skip(exclude)
-    cells, centers = build_cells(items, rules, "kmeans")
-    plan = stage(_plan_cells(_queries(queries, k, skip), centers, rules.probes), "probes")
-    return _best(score_in_cells(plan, cells, rules.block_rows), k, skip)
+    one = F.lit(0).alias("cell")
+    q = _queries(queries, k, skip).withColumn("cell", F.lit(0))
+    hits = score_in_cells(q, items.select("id", F.col("vector").cast("array<float>").alias("vector"), one), block_rows)
+    return _best(hits, k, skip)
 
 
 def exact_topk(
@@ -228,7 +210,7 @@ def exact_topk(
     Excluded pairs are removed before the floor is taken.
     """
     skip = _pairs_to_skip(exclude)
-    cells, centers = build_cells(items, rules, "pivots")
+    cells, centers = build_cells(items, rules)
     radius = np.zeros(len(centers))
     for row in cells.groupBy("cell").agg(F.max("dist").alias("r")).collect():  # one row per cell
         radius[row["cell"]] = row["r"]
@@ -241,41 +223,6 @@ def exact_topk(
     return _best(first.unionByName(score_in_cells(rest, cells, rules.block_rows)), k, skip)
 
 
-def hash_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    tables: int = 8,
-    bits: int = 6,
-    rules: VectorRules = VectorRules(),
-    exclude: DataFrame | None = None,
-) -> DataFrame:
-    """Approximate: random-hyperplane buckets, ``tables`` independent hash tables.
-
-    A bucket is a cell of the shared scorer, so a crowded bucket is cut into
-    blocks instead of being paired in one task.
-    """
-    skip = _pairs_to_skip(exclude)
-    dim = len(items.select("vector").first()["vector"])
-    planes = np.random.default_rng(rules.seed).standard_normal((tables * bits, dim))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    @F.pandas_udf("array<int>")
-    def buckets(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
-        signs = (m @ planes.T > 0).reshape(len(m), tables, bits)
-        code = (signs * weights).sum(axis=2) + np.arange(tables) * (1 << bits)
-        return pd.Series(list(code.astype("int32")))
-
-    q = _queries(queries, k, skip).select("query_id", "qv", "need", F.explode(buckets("qv")).alias("cell"))
-    i = items.select("id", F.col("vector").cast("array<float>").alias("vector"))
-    i = i.select("id", "vector", F.explode(buckets("vector")).alias("cell"))
-    hits = score_in_cells(stage(q, "hash-q"), stage(i, "hash-i"), rules.block_rows)
-    return _best(hits.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k, skip)
-
-
 def as_candidates(hits: DataFrame, source: str) -> DataFrame:
     return hits.select(
         F.col("query_id").alias("user_id"),
@@ -301,8 +248,11 @@ def vector_candidates(
         drop = history.select(F.col("user_id").alias("query_id"), F.col("video_id").alias("item_id")).join(
             users.select(F.col("id").alias("query_id")), "query_id", "left_semi"
         )
-    search = exact_topk if exact else ivf_topk
-    return as_candidates(search(users, items, topk, rules, drop), source)
+    if exact:
+        return as_candidates(exact_topk(users, items, topk, rules, drop), source)
+    from feedloom.operators.ann import cell_search  # which builds on this module
+
+    return as_candidates(cell_search(users, items, topk, exclude=drop), source)
 
 
 # ----------------------------------------------------------------- profiles

@@ -38,8 +38,10 @@ from feedloom.operators.rerank import greedy_rerank, with_item_meta
 from feedloom.operators.sampling import sample_negatives
 from feedloom.operators.scoring import fit_mlp, fit_tasks, fit_trees, latent_factors, predict, predict_tasks, ranked_candidates
 from feedloom.operators.sequences import positive_sequences, user_sequences
-from feedloom.operators.vector_search import exact_topk, ivf_topk, overlap, overlap_summary, recency_profiles, vector_candidates
-from feedloom.operators.walks import node_vectors, random_walks
+from feedloom.operators.ann import cell_search
+from feedloom.operators.node_embeddings import graph_vectors
+from feedloom.operators.vector_search import exact_topk, overlap, overlap_summary, recency_profiles, vector_candidates
+from feedloom.operators.walks import random_walks
 from feedloom.session import stage
 from feedloom.sources.tables import pipeline_report, read_metrics, write_metrics, write_parquet
 
@@ -116,7 +118,7 @@ def recall_fit(ws: Workspace, with_graph: bool = True, with_factors: bool = True
         ws.save("item_factors", items)
     if with_graph:
         edges = ws.save("graph", item_graph(train, r.graph))
-        ws.save("graph_vectors", node_vectors(random_walks(edges, r.graph), r.graph))
+        ws.save("graph_vectors", graph_vectors(stage(random_walks(edges, r.graph), "walks"), r.graph))
 
 
 def channels_for(ws: Workspace, split: str, with_graph: bool = True, with_factors: bool = True, approximate: bool = False) -> dict[str, DataFrame]:
@@ -237,7 +239,7 @@ def compare_search(ws: Workspace, k: int = 500) -> DataFrame:
     """Overlap of nearest-cell search with exact search over the factor tables."""
     users, items = ws.load("user_factors"), ws.load("item_factors")
     best = stage(exact_topk(users, items, k, ws.rules.vectors), "exact")
-    return overlap_summary(overlap(best, ivf_topk(users, items, k, ws.rules.vectors), k))
+    return overlap_summary(overlap(best, cell_search(users, items, k), k))
 
 
 def policy_lists(ws: Workspace, kind: str, split: str, k: int) -> DataFrame:

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.config import FeedbackRules, GraphRules, RepeatRules, RerankRules, VectorRules
+from feedloom.operators.ann import AnnRules, bucket_search, cell_search
 from feedloom.operators.rerank import greedy_rerank
 from feedloom.operators.scoring import interest_scores
 from feedloom.operators.sequences import user_sequences
-from feedloom.operators.vector_search import exact_topk, hash_topk, ivf_topk, recency_profiles
+from feedloom.operators.vector_search import blocked_topk, exact_topk, recency_profiles
 from feedloom.operators.walks import random_walks, skipgram_pairs
 from feedloom.streaming.feedback import feedback_states, fold_feedback, latest_states, normalise_feedback
 from feedloom.streaming.jobs import run_available, use_rocksdb
@@ -114,9 +115,10 @@ def test_approximate_search_quality(spark):
     m = np.concatenate([c + 0.15 * rng.standard_normal((40, 16)) for c in centers]).astype("float32")
     v = _vectors(spark, m)
     truth = {(r["query_id"], r["item_id"]) for r in exact_topk(v, v, 10, VectorRules(cells=8, probes=2)).collect()}
-    for hits in (ivf_topk(v, v, 10, VectorRules(cells=8, probes=4)), hash_topk(v, v, 10, tables=8, bits=4)):
+    rules = AnnRules(cell_rows=20)
+    for hits in (cell_search(v, v, 10, rules), bucket_search(v, v, 10, rules)):
         found = {(r["query_id"], r["item_id"]) for r in hits.collect()}
-        assert len(found & truth) / len(truth) > 0.9
+        assert len(found) == 3200 and len(found & truth) / len(truth) > 0.9
 
 
 def test_profiles_and_attention(spark):
