@@ -8,7 +8,7 @@ from feedloom.catalog.inputs import events, orders, rounded
 from feedloom.catalog.recall import _two_channels
 from feedloom.catalog.sql import cte, sql
 from feedloom.config import PRERANK_SAMPLING, RANK_SAMPLING, FeatureRules
-from feedloom.operators.encoders import encode, fit_codes, numeric_profile, zscore
+from feedloom.operators.encoders import add_target_stats, encode, fit_codes, fit_target_stats, numeric_profile, zscore
 from feedloom.operators.features import (
     coarse_columns,
     coarse_frame,
@@ -25,6 +25,7 @@ from feedloom.operators.features import (
 from feedloom.operators.labels import attach_label
 from feedloom.operators.list_eval import before_after, list_metrics
 from feedloom.operators.merge import merge_candidates
+from feedloom.operators.multitask import fit_network, score_tasks
 from feedloom.operators.popular import popular_candidates, popular_items
 from feedloom.operators.rank_metrics import auc_table, coarse_metrics, coarse_topk, log_loss_table, ranked_metrics
 from feedloom.operators.rerank import greedy_rerank, with_item_meta
@@ -32,12 +33,10 @@ from feedloom.operators.sampling import sample_negatives
 from feedloom.operators.scoring import (
     degraded_scores,
     fit_mlp,
-    fit_tasks,
     fit_trees,
     interest_scores,
     latent_factors,
     predict,
-    predict_tasks,
     rank_score,
     ranked_candidates,
 )
@@ -284,14 +283,37 @@ def coarse_mlp(spark, sf):
     return _auc_of(predict(zscore(score, prof, cols), model, cols, "coarse_score"), "mlp")
 
 
+def _network_scores(x):
+    """Shared network on the validation candidates, cross-fitted category rates and attention among its features."""
+    keys, history = ["user_id", "video_id"], stage(positive_sequences(x.train), "histories")
+
+    def frame(split):
+        f = stage(_fine(x, stage(coarse_cut(x, split), f"fine-cut-{split}"), split), f"fine-{split}")
+        return f.join(interest_scores(f, history, x.all_vectors), keys, "left").fillna(0.0, ["interest_score"])
+
+    fit = stage(sample_negatives(frame("val"), "val", RANK_SAMPLING, "rank_label"), "fine-fit")
+    cat, cols = fine_columns(fit, ORDER_FEATURES)
+    rates = fit_target_stats(fit, cat, "rank_label", keys)
+    fit = stage(add_target_stats(fit, rates, cat, keys), "fine-rated")
+    held = F.pmod(F.xxhash64("user_id"), F.lit(5)) == 0
+    net = fit_network(fit.where(~held), fit.where(held), [*cols, "interest_score", *[f"ts_{c}" for c in cat]])
+    scored = score_tasks(add_target_stats(frame("test"), rates, cat), net).withColumn("rank_score", rank_score())
+    return stage(scored, "fine-scored"), net
+
+
 def fine_tasks(spark, sf):
-    x = orders(spark, sf).staged()
-    fit, test = stage(coarse_cut(x, "val"), "fine-cut-val"), stage(coarse_cut(x, "test"), "fine-cut-test")
-    a = sample_negatives(stage(_fine(x, fit, "val"), "fine-fit"), "val", RANK_SAMPLING, "rank_label")
-    _, cols = fine_columns(a, ORDER_FEATURES)
-    models = fit_tasks(a, cols, rounds=3, depth=3)
-    out = stage(ranked_candidates(predict_tasks(stage(_fine(x, test, "test"), "fine-test"), models, cols)), "ranked-ml")
-    return rounded(ranked_metrics(out), "value", digits=4)
+    scored, _ = _network_scores(orders(spark, sf).staged())
+    return rounded(ranked_metrics(stage(ranked_candidates(scored), "ranked-ml")), "value", digits=4)
+
+
+def network_check(spark, sf):
+    """One row: test candidates scored, those with three scores between 0 and 1, and whether training lowered the held-out loss."""
+    scored, net = _network_scores(orders(spark, sf).staged())
+    fell = min(h[2] for h in net.history) < net.history[0][2]
+    good = F.greatest("long_watch_score", "finish_score", "like_score") < 1
+    for t in ("long_watch", "finish", "like"):
+        good = good & (F.col(f"{t}_score") > 0)
+    return scored.agg(F.count("*").alias("scored"), F.count(F.when(good, 1)).alias("in_range"), F.lit(int(fell)).alias("held_out_loss_fell"))
 
 
 def factor_lists(spark, sf):
@@ -335,6 +357,7 @@ QUERIES = {
     "coarse_trees": coarse_trees,
     "coarse_mlp": coarse_mlp,
     "fine_multitask": fine_tasks,
+    "multitask_scores": network_check,
     "latent_factor_topk": factor_lists,
     "interest_scores": interest,
 }
@@ -570,7 +593,30 @@ SELECT user_id, video_id, CAST(rank_score AS DOUBLE) AS s, author_id AS a, tag A
   count(*) OVER (PARTITION BY user_id) AS n FROM ranked_meta_o""",
 )
 
+cte("pop_all_test_e", ("users_test_e", "popular_e"), "SELECT user_id, video_id FROM users_test_e CROSS JOIN popular_e")
+cte(
+    "interest_e",
+    ("pop_all_test_e", "pos_seq_e", "vec", "items_e"),
+    """
+SELECT user_id, video_id, sum(exp(l - top) * l) / sum(exp(l - top)) AS x FROM (
+SELECT *, max(l) OVER (PARTITION BY user_id, video_id) AS top FROM (
+SELECT c.user_id, c.video_id, list_dot_product(CAST(t.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) AS l
+FROM pop_all_test_e c JOIN vec t ON t.id = c.video_id AND t.id IN (SELECT video_id FROM items_e)
+JOIN (SELECT user_id, video_id, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS back FROM pos_seq_e) h ON h.user_id = c.user_id AND h.back <= 50 AND h.video_id <> c.video_id
+JOIN vec e ON e.id = h.video_id AND e.id IN (SELECT video_id FROM items_e))) GROUP BY 1, 2""",
+)
+
 ORACLES = {
+    "multitask_scores": sql("SELECT count(*) AS scored, count(*) AS in_range, CAST(1 AS INTEGER) AS held_out_loss_fell FROM cut_o", "cut_o"),
+    "interest_scores": sql(
+        """
+SELECT c.user_id, c.video_id, round(coalesce(i.x, 0.0), 4) + 0.0 AS interest_score FROM pop_all_test_e c JOIN vec t ON t.id = c.video_id
+AND t.id IN (SELECT video_id FROM items_e) LEFT JOIN interest_e i ON i.user_id = c.user_id AND i.video_id = c.video_id""",
+        "pop_all_test_e",
+        "interest_e",
+        "vec",
+        "items_e",
+    ),
     "train_user_stats": sql(
         "SELECT * REPLACE (round(user_train_positive_rate, 6) AS user_train_positive_rate) FROM stats_user_o", "stats_user_o"
     ),

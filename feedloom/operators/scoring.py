@@ -12,11 +12,10 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.config import TASKS, ScoreRules
+from feedloom.config import ScoreRules
 from feedloom.functions.columns import flag, unit
 from feedloom.functions.ordering import ranked
 from feedloom.operators.encoders import assemble
-from feedloom.session import stage
 
 # ------------------------------------------------------------ latent factors
 
@@ -76,7 +75,7 @@ def fit_trees(
     return gbt.fit(assemble(data, columns).select("features", "_y", "_val"))
 
 
-def fit_mlp(train: DataFrame, columns: list[str], label: str = "label", hidden: tuple = (32, 16), rounds: int = 40, seed: int = 2026):
+def fit_mlp(train: DataFrame, columns: list[str], label: str = "label", hidden: tuple = (256, 128, 64), rounds: int = 40, seed: int = 2026):
     """Feed-forward classifier on the same columns (pass z-scored ones)."""
     data = train.select(*columns, F.col(label).cast("double").alias("_y"))
     mlp = MultilayerPerceptronClassifier(
@@ -104,19 +103,6 @@ def rank_score(tasks: dict | None = None):
     return out.cast("float")
 
 
-def fit_tasks(train: DataFrame, columns: list[str], tasks: tuple = TASKS, rounds: int = 10, **kw) -> dict:
-    """One model per task over the same feature columns; the input is materialised once."""
-    data = stage(train.select(*columns, *tasks), "task-train")
-    return {t: fit_trees(data, columns, t, rounds=rounds, **kw) for t in tasks}
-
-
-def predict_tasks(df: DataFrame, models: dict, columns: list[str], rules: ScoreRules = ScoreRules()) -> DataFrame:
-    out = df
-    for task, model in models.items():
-        out = predict(out, model, columns, f"{task}_score")
-    return out.withColumn("rank_score", rank_score(rules.task_weights))
-
-
 def ranked_candidates(scored: DataFrame) -> DataFrame:
     order = [F.col("rank_score").desc(), F.col("coarse_score").desc(), F.col("video_id").asc()]
     return ranked(scored, "user_id", order, "rank_position")
@@ -134,70 +120,56 @@ def degraded_scores(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------- target-aware attention
 
+#: History places and candidates of one user in a block, and partial sums merged at once.
+BLOCK, MERGED = 64, 512
 
-def _pool(history: np.ndarray, targets: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Similarity of each target to its softmax-weighted history; 0 without usable history."""
-    logits = targets @ history.T
-    logits[same] = -np.inf
-    top = logits.max(axis=1, keepdims=True)
-    usable = np.isfinite(top[:, 0])
-    w = np.exp(np.where(np.isfinite(logits), logits - np.where(np.isfinite(top), top, 0.0), -np.inf))
-    total = w.sum(axis=1, keepdims=True)
-    pooled = (w / np.maximum(total, 1e-6)) @ history
-    return np.where(usable, (pooled * targets).sum(axis=1), 0.0)
 
-
-def _interest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _attention_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Softmax parts of each candidate over one block of history: greatest logit, weights, weighted logits."""
     for pdf in batches:
-        users, videos, scores = [], [], []
-        for user, hv, hvec, cv, cvec in zip(pdf["user_id"], pdf["h_ids"], pdf["h_vecs"], pdf["c_ids"], pdf["c_vecs"]):
-            c_ids = np.asarray(cv)
-            if hv is None or len(hv) == 0:
-                value = np.zeros(len(c_ids))
-            else:
-                h = np.stack(list(hvec)).astype(np.float64)
-                t = np.stack(list(cvec)).astype(np.float64)
-                value = _pool(h, t, c_ids[:, None] == np.asarray(hv)[None, :])
-            users.append(np.full(len(c_ids), user))
-            videos.append(c_ids)
-            scores.append(value)
-        if users:
-            yield pd.DataFrame(
-                {
-                    "user_id": np.concatenate(users),
-                    "video_id": np.concatenate(videos),
-                    "interest_score": np.concatenate(scores),
-                }
-            )
-
-
-def interest_scores(candidates: DataFrame, histories: DataFrame, vectors: DataFrame, max_len: int = 50) -> DataFrame:
+        out = []
+        for user, part, h_ids, h_vecs, c_ids, c_vecs in zip(*[pdf[c] for c in ("user_id", "part", "h_ids", "h_vecs", "c_ids", "c_vecs")], strict=True):
+            history, targets = (np.stack(list(v)).astype(np.float64) for v in (h_vecs, c_vecs))
+            logits = np.where(np.asarray(c_ids)[:, None] == np.asarray(h_ids)[None, :], -np.inf, targets @ history.T)
+            top = logits.max(axis=1)
+            some = np.isfinite(top)
+            w = np.exp(logits[some] - top[some, None])
+            held = np.where(np.isfinite(logits[some]), logits[some], 0.0)
+            out.append(pd.DataFrame({"user_id": user, "video_id": np.asarray(c_ids)[some], "part": part, "top": top[some], "w": w.sum(axis=1), "wl": (w * held).sum(axis=1)}))
+        yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("user_id", "video_id", "part", "top", "w", "wl")})
+
+
+def _merge_softmax(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds up softmax parts: each is rescaled from its own greatest logit to the common one."""
+    one = parts.groupBy(*keys).agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "w", "wl")).alias("p"))
+    total = lambda name: F.aggregate("p", F.lit(0.0), lambda a, x: a + x[name] * F.exp(x["top"] - F.col("m")))
+    return one.select(*keys, F.col("m").alias("top"), total("w").alias("w"), total("wl").alias("wl"))
+
+
+def interest_scores(candidates: DataFrame, histories: DataFrame, vectors: DataFrame, max_len: int | None = 50) -> DataFrame:
     """(user_id, video_id, interest_score): attention of each candidate over the user's history.
 
-    One row per user carries at most ``max_len`` history vectors and the user's
-    candidate vectors (a stage list, at most a few hundred), so no history vector
-    is repeated per candidate.  The target itself is masked out of the history.
+    The score is the dot product of the candidate with its softmax-weighted history, the target itself
+    left out; 0 without known history.  It is the weighted mean of the logits, so three numbers per
+    candidate and block of history are enough: they are computed block by block, at most ``BLOCK``
+    places against ``BLOCK`` candidates, and merged.  A history of any length (``max_len`` None)
+    is spread over tasks.
     """
     from feedloom.functions.columns import tail
 
     vec = vectors.select(F.col("id").alias("video_id"), "vector")
-    places = histories.select("user_id", F.posexplode(tail("seq", max_len)).alias("pos", "video_id"))
-    hist = (
-        places.join(vec, "video_id")
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "video_id", "vector"))).alias("h"))
-    )
-    cand = (
-        candidates.select("user_id", "video_id")
-        .join(vec, "video_id")
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("video_id", "vector"))).alias("c"))
-    )
-    rows = cand.join(hist, "user_id", "left").select(
-        "user_id",
-        F.transform("h", lambda x: x["video_id"]).alias("h_ids"),
-        F.transform("h", lambda x: x["vector"]).alias("h_vecs"),
-        F.transform("c", lambda x: x["video_id"]).alias("c_ids"),
-        F.transform("c", lambda x: x["vector"]).alias("c_vecs"),
-    )
-    return rows.mapInPandas(_interest, "user_id bigint, video_id bigint, interest_score double")
+    seq = F.col("seq") if max_len is None else tail("seq", max_len)
+    places = histories.select("user_id", F.posexplode(seq).alias("pos", "video_id")).join(vec, "video_id")
+    block = lambda order: F.array_sort(F.collect_list(order)).alias("b")
+    hist = places.groupBy("user_id", F.floor(F.col("pos") / BLOCK).alias("part")).agg(block(F.struct("pos", "video_id", "vector")))
+    hist = hist.select("user_id", "part", F.transform("b", lambda x: x["video_id"]).alias("h_ids"), F.transform("b", lambda x: x["vector"]).alias("h_vecs"))
+    pairs = candidates.select("user_id", "video_id").distinct()
+    known = pairs.join(vec, "video_id")
+    sizes = known.groupBy("user_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("blocks"))
+    cand = known.join(sizes, "user_id").groupBy("user_id", F.pmod(F.xxhash64("video_id"), F.col("blocks")).alias("c")).agg(block(F.struct("video_id", "vector")))
+    cand = cand.select("user_id", F.transform("b", lambda x: x["video_id"]).alias("c_ids"), F.transform("b", lambda x: x["vector"]).alias("c_vecs"))
+    parts = cand.join(hist, "user_id").mapInPandas(_attention_block, "user_id bigint, video_id bigint, part bigint, top double, w double, wl double")
+    parts = _merge_softmax(parts.withColumn("run", F.floor(F.col("part") / MERGED)), ["user_id", "video_id", "run"])
+    merged = _merge_softmax(parts, ["user_id", "video_id"])
+    score = F.coalesce(F.col("wl") / F.greatest(F.col("w"), F.lit(1e-6)), F.lit(0.0))
+    return known.select("user_id", "video_id").join(merged, ["user_id", "video_id"], "left").select("user_id", "video_id", score.alias("interest_score"))

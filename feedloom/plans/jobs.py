@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,21 +26,22 @@ from feedloom import config as K
 from feedloom.operators import cold_start as C
 from feedloom.operators import experiments as E
 from feedloom.operators import policies as P
-from feedloom.operators.encoders import numeric_profile, zscore
+from feedloom.operators.ann import cell_search
+from feedloom.operators.encoders import add_target_stats, fit_target_stats, numeric_profile, zscore
 from feedloom.operators.features import coarse_columns, coarse_frame, fine_columns, fine_frame, item_stats, task_labels, user_stats
 from feedloom.operators.itemcf import item_graph, itemcf_candidates, itemcf_neighbors
 from feedloom.operators.labels import attach_label, prepare_interactions, prepare_items, prepare_users, split_by_date, split_summary
 from feedloom.operators.list_eval import before_after
 from feedloom.operators.merge import merge_candidates
+from feedloom.operators.multitask import NetworkRules, fit_network, network_from, network_rows, score_tasks
+from feedloom.operators.node_embeddings import graph_vectors
 from feedloom.operators.popular import popular_candidates, popular_items
 from feedloom.operators.rank_metrics import coarse_metrics, coarse_topk, ranked_metrics
 from feedloom.operators.recall_eval import recall_metrics, source_overlap
 from feedloom.operators.rerank import greedy_rerank, with_item_meta
 from feedloom.operators.sampling import sample_negatives
-from feedloom.operators.scoring import fit_mlp, fit_tasks, fit_trees, latent_factors, predict, predict_tasks, ranked_candidates
+from feedloom.operators.scoring import fit_mlp, fit_trees, interest_scores, latent_factors, predict, rank_score, ranked_candidates
 from feedloom.operators.sequences import positive_sequences, user_sequences
-from feedloom.operators.ann import cell_search
-from feedloom.operators.node_embeddings import graph_vectors
 from feedloom.operators.vector_search import exact_topk, overlap, overlap_summary, recency_profiles, vector_candidates
 from feedloom.operators.walks import random_walks
 from feedloom.session import stage
@@ -62,8 +64,9 @@ class Rules:
     experiment: K.ExperimentRules = field(default_factory=K.ExperimentRules)
     cold: K.ColdStartRules = K.ColdStartRules()
     factor_iterations: int = 10
-    tree_rounds: int = 20
-    task_rounds: int = 10
+    tree_rounds: int = 350
+    tree_rate: float = 0.05
+    network: NetworkRules = NetworkRules()
 
 
 @dataclass
@@ -82,6 +85,14 @@ class Workspace:
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def has(self, name: str) -> bool:
+        """Is there a readable table of this name?"""
+        try:
+            self.load(name)
+        except AnalysisException:
+            return False
+        return True
+
     def split(self, name: str) -> DataFrame:
         return split_by_date(self.load("interactions"), self.rules.dates)[name]
 
@@ -160,15 +171,30 @@ def _coarse(ws: Workspace, cand: DataFrame, split: str) -> DataFrame:
     return coarse_frame(cand, ws.load("users"), ws.load("items"), ws.load("sequences"), user_stats(train), item_stats(train), split, ws.rules.features)
 
 
+PAIR = ["user_id", "video_id"]
+
+
+def _with_rates(ws: Workspace, frames: dict[str, DataFrame], cat: list[str], label: str, name: str) -> dict[str, DataFrame]:
+    """Label rates of the categorical columns: cross-fitted on train, whole rates elsewhere."""
+    rates = ws.save(name, fit_target_stats(frames["train"], cat, label, PAIR))
+    return {s: stage(add_target_stats(f, rates, cat, PAIR if s == "train" else None), f"{name}-{s}") for s, f in frames.items()}
+
+
+def _rated(ws: Workspace, frame: DataFrame, cols: list[str], name: str) -> DataFrame:
+    return add_target_stats(frame, ws.load(name), [c[3:] for c in cols if c.startswith("ts_")])
+
+
 def coarse_fit(ws: Workspace, model: str = "trees") -> None:
     """Fit on the sampled train candidates, stopping early on the sampled val candidates."""
     frames = {
         s: stage(_coarse(ws, sample_negatives(ws.load(f"candidates-{s}"), s, K.PRERANK_SAMPLING), s), f"coarse-{s}")
         for s in ("train", "val")
     }
-    _, cols = coarse_columns(frames["train"], ws.rules.features)
+    cat, cols = coarse_columns(frames["train"], ws.rules.features)
+    frames = _with_rates(ws, frames, cat, "label", "coarse-rates")
+    cols = cols + [f"ts_{c}" for c in cat]
     if model == "trees":
-        fitted = fit_trees(frames["train"], cols, validation=frames["val"], rounds=ws.rules.tree_rounds)
+        fitted = fit_trees(frames["train"], cols, validation=frames["val"], rounds=ws.rules.tree_rounds, rate=ws.rules.tree_rate)
     elif model == "mlp":
         prof = ws.save("coarse-profile", numeric_profile(frames["train"], cols))
         fitted = fit_mlp(zscore(frames["train"], prof, cols), cols)
@@ -188,36 +214,45 @@ def coarse_infer(ws: Workspace, splits: tuple = K.SPLITS, model: str = "trees")
     fitted = loader.load(ws.path(f"model-coarse-{model}"))
     for split in splits:
         cand = ws.load(f"candidates-{split}")
-        frame = _coarse(ws, cand, split)
+        # the candidate's own columns travel with the features, so no join brings the scores back
+        own = [F.col(c).alias(f"own_{c}") for c in cand.columns if c not in PAIR]
+        frame = _rated(ws, _coarse(ws, cand.select("*", *own), split), cols, "coarse-rates")
         if model == "mlp":
             frame = zscore(frame, ws.load("coarse-profile"), cols)
-        scores = predict(frame, fitted, cols, "coarse_score").select("user_id", "video_id", "coarse_score")
-        top = ws.save(f"coarse-{split}", coarse_topk(cand.join(scores, ["user_id", "video_id"]), ws.rules.scores.prerank_topk))
+        scored = predict(frame, fitted, cols, "coarse_score")
+        scored = scored.select(*[c if c in PAIR else F.col(f"own_{c}").alias(c) for c in cand.columns], "coarse_score")
+        top = ws.save(f"coarse-{split}", coarse_topk(scored, ws.rules.scores.prerank_topk))
         ws.add_metrics("prerank", split, coarse_metrics(cand, top, ws.rules.scores))
 
 
 def _fine(ws: Workspace, split: str) -> DataFrame:
-    return fine_frame(
+    frame = fine_frame(
         ws.load(f"coarse-{split}"), task_labels(ws.split(split)), ws.load("users"), ws.load("items"), ws.split("train"), split, ws.rules.features
     )
+    vectors = next((ws.load(t) for t in ("item_factors", "graph_vectors") if ws.has(t)), None)
+    if vectors is None:
+        return frame.withColumn("interest_score", F.lit(0.0))
+    r = ws.rules.features
+    known = interest_scores(frame, positive_sequences(ws.split("train"), 3 * r.history_len), vectors, r.history_len)
+    return frame.join(known, PAIR, "left").withColumn("interest_score", F.coalesce("interest_score", F.lit(0.0)))
 
 
 def fine_fit(ws: Workspace) -> None:
-    frame = stage(_fine(ws, "train"), "fine-train")
-    _, cols = fine_columns(frame, ws.rules.features)
-    sample = sample_negatives(frame, "train", K.RANK_SAMPLING, "rank_label")
-    for task, fitted in fit_tasks(sample, cols, rounds=ws.rules.task_rounds).items():
-        fitted.write().overwrite().save(ws.path(f"model-fine-{task}"))
-    ws.save("fine-columns", ws.spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "i int, name string"))
+    """Fit the shared network on the sampled train candidates, stopping by the sampled val candidates."""
+    frames = {s: stage(sample_negatives(_fine(ws, s), s, K.RANK_SAMPLING, "rank_label"), f"fine-{s}") for s in ("train", "val")}
+    cat, cols = fine_columns(frames["train"], ws.rules.features)
+    frames = _with_rates(ws, frames, cat, "rank_label", "fine-rates")
+    cols = [*cols, "interest_score", *[f"ts_{c}" for c in cat]]
+    ws.save("model-fine", network_rows(ws.spark, fit_network(frames["train"], frames["val"], cols, K.TASKS, ws.rules.network)))
 
 
 def fine_infer(ws: Workspace, splits: tuple = ("val", "test")) -> None:
-    cols = _columns(ws, "fine-columns")
-    models = {t: GBTClassificationModel.load(ws.path(f"model-fine-{t}")) for t in K.TASKS}
+    network = network_from(ws.load("model-fine"))
     keep = ["user_id", "video_id", "recall_source", "merged_score", "source_count", "merged_rank", "coarse_score", "coarse_rank", "label",
             "rank_label", *K.TASKS, *[f"{t}_score" for t in K.TASKS], "rank_score"]
     for split in splits:
-        scored = predict_tasks(_fine(ws, split), models, cols, ws.rules.scores)
+        scored = score_tasks(_rated(ws, _fine(ws, split), network.columns, "fine-rates"), network)
+        scored = scored.withColumn("rank_score", rank_score(ws.rules.scores.task_weights))
         ranked = ws.save(f"ranked-{split}", ranked_candidates(scored.select(*[c for c in keep if c in scored.columns])))
         ws.add_metrics("rank", split, ranked_metrics(ranked, ws.rules.scores))
 
@@ -252,7 +287,8 @@ def policy_lists(ws: Workspace, kind: str, split: str, k: int) -> DataFrame:
         return P.embedding_policy(users, ws.load("user_factors"), ws.load("item_factors"), seqs, k, ws.rules.vectors)
     if kind in ("full_pipeline", "full_pipeline_without_rerank"):
         stages = {"recall_candidates": f"candidates-{split}", "prerank": f"coarse-{split}", "rank": f"ranked-{split}", "rerank": f"final-{split}"}
-        return P.full_policy({n: ws.load(t) for n, t in stages.items()}, k, kind == "full_pipeline")
+        lists, _ = P.stored_policy(ws.spark, {n: ws.path(t) for n, t in stages.items()}, k, kind == "full_pipeline")
+        return lists
     raise ValueError(f"unsupported policy: {kind}")
 
 

@@ -1,6 +1,7 @@
 """The whole chain of jobs over the smallest tables."""
 
 from feedloom.config import ExperimentRules, GraphRules, ItemCfRules, VectorRules
+from feedloom.operators.multitask import NetworkRules
 from feedloom.plans import jobs as J
 from feedloom.sources import adapters as A
 
@@ -16,7 +17,7 @@ def test_chain(spark, small, tmp_path):
         experiment=ExperimentRules(bootstrap_samples=40),
         factor_iterations=2,
         tree_rounds=1,
-        task_rounds=1,
+        network=NetworkRules(hidden=(8,), rounds=2),
     )
     ws = J.Workspace(spark, str(tmp_path / "ws"), rules)
     summary = J.preprocess(ws, A.orders_log(spark, small), A.orders_users(spark, small), A.orders_items(spark, small), items_ready=True, by_date=False)
@@ -40,6 +41,11 @@ def test_chain(spark, small, tmp_path):
     assert per == 20 and final.count() > 0
     rows = J.report(ws).collect()
     assert {r["split"] for r in rows} >= {"val", "test"} and any(r["rerank"] is not None for r in rows)
+    # the comparison goes on with what earlier stages left when one is missing
+    late = J.Workspace(spark, ws.folder, rules)
+    late.path = lambda name: ws.path(name) + ("-gone" if name.startswith("final") else "")
+    lists = J.policy_lists(late, "full_pipeline", "test", 50)
+    assert {r["source"] for r in lists.select("source").distinct().collect()} <= {"rank", "prerank", "recall_candidates"} and lists.count() > 0
     lift, ci = J.compare_policies(ws)
     assert lift.filter("metric = 'recall@50'").count() == 1 and ci.count() == 1
     out = J.cold_start(ws)
