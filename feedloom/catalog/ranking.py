@@ -261,8 +261,11 @@ def _model_frames(x):
     fit = stage(sample_negatives(merged_orders(x, "val"), "val", PRERANK_SAMPLING), "fit")
     score = merged_orders(x, "test")
     a, b = stage(_coarse(x, fit, "val"), "fit-frame"), stage(_coarse(x, score, "test"), "score-frame")
-    _, numeric = coarse_columns(a, ORDER_FEATURES)
-    return a, b, numeric
+    cat, numeric = coarse_columns(a, ORDER_FEATURES)
+    keys = ["user_id", "video_id"]
+    rates = fit_target_stats(a, cat, "label", keys)
+    a, b = stage(add_target_stats(a, rates, cat, keys), "fit-rated"), stage(add_target_stats(b, rates, cat), "score-rated")
+    return a, b, numeric + [f"ts_{c}" for c in cat]
 
 
 def _auc_of(scored, name):
@@ -272,14 +275,14 @@ def _auc_of(scored, name):
 def coarse_trees(spark, sf):
     fit, score, cols = _model_frames(orders(spark, sf).staged())
     held = F.pmod(F.xxhash64("user_id"), F.lit(5)) == 0
-    model = fit_trees(fit.filter(~held), cols, validation=fit.filter(held), rounds=8, depth=4)
+    model = fit_trees(fit.filter(~held), cols, validation=fit.filter(held), rounds=350, rate=0.05)
     return _auc_of(predict(score, model, cols, "coarse_score"), "trees")
 
 
 def coarse_mlp(spark, sf):
     fit, score, cols = _model_frames(orders(spark, sf).staged())
     prof = stage(numeric_profile(fit, cols), "profile")
-    model = fit_mlp(zscore(fit, prof, cols), cols, hidden=(16, 8), rounds=20)
+    model = fit_mlp(zscore(fit, prof, cols), cols)
     return _auc_of(predict(zscore(score, prof, cols), model, cols, "coarse_score"), "mlp")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.catalog.inputs import events, joined, orders, rounded
 from feedloom.catalog.recall import CELLS
 from feedloom.catalog.sql import cte, sql
+from feedloom.config import FeedbackRules
 from feedloom.operators.monitoring import latency_summary, request_counters, windowed_requests
 from feedloom.operators.popular import popular_items
 from feedloom.operators.sequences import positive_sequences
@@ -16,6 +17,7 @@ from feedloom.sources import adapters as A
 from feedloom.sources.schemas import FEEDBACK_SCHEMA
 from feedloom.sources.tables import append_json
 from feedloom.streaming.feedback import (
+    expiring_states,
     feedback_states,
     fold_feedback,
     latest_states,
@@ -25,7 +27,7 @@ from feedloom.streaming.feedback import (
     states_from_sequences,
 )
 from feedloom.streaming.jobs import read_parquet_stream, run_available, use_rocksdb, windowed_stream
-from feedloom.streaming.serve import Assets, recommend_batch
+from feedloom.streaming.serve import Assets, newest_lists, recommend_batch, refreshing_sink, serving_sink
 
 STATE = ["user_id", "recent_viewed", "recent_positive", "recent_liked", "recent_long", "recent_categories", "skip_count", "like_count",
          "long_view_count", "feedback_count", "last_active_ms"]
@@ -139,7 +141,53 @@ def serve_popular(spark, sf):
     return rounded(out.select("user_id", "video_id", "final_rank", "rerank_score"), "rerank_score", digits=4)
 
 
+def _shown(lists):
+    return rounded(lists.select("user_id", "video_id", "final_rank", "rerank_score"), "rerank_score", digits=4)
+
+
+def _popular_assets(x):
+    return Assets(items=x.items, popular=stage(popular_items(x.train), "popular"))
+
+
+def served_stream(spark, sf):
+    """Requests of all users as a stream that stops and is started again, joined with the stored feedback states."""
+    x = events(spark, sf).staged()
+    states = stage(fold_feedback(_batch_events(spark, sf)), "states")
+    folder, out = stage_path(spark, "requests"), stage_path(spark, "served")
+    asked = states.select("user_id", F.lit(10).alias("top_k"))
+    sink = serving_sink(lambda: states, _popular_assets(x), rerank=None)
+    for part in range(2):  # the second run goes on where the first has stopped
+        asked.where(F.pmod(F.xxhash64("user_id"), F.lit(2)) == part).repartition(2).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        lists = run_available(stream, "served", "append", sink, out)
+    return _shown(lists)
+
+
+def refreshed_stream(spark, sf):
+    """Lists that follow the change feed of the feedback stream: the newest of each user."""
+    use_rocksdb(spark)
+    x = events(spark, sf).staged()
+    raw = read_parquet_stream(spark, sf, "events").select(*A.feedback_columns())
+    feed = feedback_states(normalise_feedback(raw, stage(x.items, "items")))
+    return _shown(newest_lists(run_available(feed, "refreshed", sink=refreshing_sink(_popular_assets(x), 10, rerank=None))))
+
+
+SHORT_LIFE = FeedbackRules(state_ttl_seconds=43_200)
+
+
+def expired_users(spark, sf):
+    """Users without feedback for half a day before the last event: emitted by their timers."""
+    use_rocksdb(spark)
+    raw = read_parquet_stream(spark, sf, "events").select(*A.feedback_columns())
+    feed = expiring_states(normalise_feedback(raw), SHORT_LIFE, "1 second")
+    gone = run_available(feed, "expiry", event_time=True).where("expired")
+    return gone.select("user_id", joined("recent_viewed"), "feedback_count", "last_active_ms")
+
+
 QUERIES = {
+    "serve_stream_restarted": served_stream,
+    "refresh_lists_stream": refreshed_stream,
+    "feedback_expiry_stream": expired_users,
     "feedback_events": enriched,
     "feedback_state": state_batch,
     "feedback_state_stream": state_stream,
@@ -200,7 +248,27 @@ SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, event, cou
     "req",
 )
 
+# the popular fallback: unseen among the newest 50 views, best score first
+_SERVED_SQL = sql(
+    """
+SELECT user_id, video_id, final_rank, round(CAST(source_score AS DOUBLE), 4) + 0.0 AS rerank_score FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source_score DESC, video_id) AS final_rank FROM (
+SELECT u.user_id, p.video_id, p.source_score FROM (SELECT DISTINCT user_id FROM fb) u CROSS JOIN (SELECT * FROM popular_e ORDER BY popular_rank LIMIT 200) p
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, video_id, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS r FROM fb WHERE viewed) v
+  WHERE v.r <= 50 AND v.user_id = u.user_id AND v.video_id = p.video_id))) WHERE final_rank <= 10""",
+    "fb",
+    "popular_e",
+)
+
 ORACLES = {
+    "serve_stream_restarted": _SERVED_SQL,
+    "refresh_lists_stream": _SERVED_SQL,
+    "feedback_expiry_stream": sql(
+        f"""
+SELECT t.user_id, coalesce(v.q, '') AS recent_viewed, t.feedback_count, t.last_active_ms FROM (SELECT user_id, count(*) AS feedback_count, max(ms) AS last_active_ms FROM fb GROUP BY 1) t
+LEFT JOIN {_last('viewed', 'video_id')} v ON t.user_id = v.user_id WHERE t.last_active_ms + 43200000 <= (SELECT max(ms) FROM fb) - 1000""",
+        "fb",
+    ),
     "feedback_events": sql(
         """
 SELECT event_id, user_id, video_id, ms, CAST(viewed AS INTEGER) AS viewed, CAST(positive AS INTEGER) AS positive, CAST(liked AS INTEGER) AS liked,

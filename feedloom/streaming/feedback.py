@@ -295,6 +295,43 @@ def feedback_states(events: DataFrame, rules: FeedbackRules = FeedbackRules(), i
     )
 
 
+class ExpiringFeedbackState(FeedbackState):
+    """State with an event-time timer: a user without events for the time-to-live is emitted as expired and forgotten."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("user", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for out in super().handleInputRows(key, rows, timerValues):
+            self.handle.registerTimer(int(out["last_active_ms"].iloc[0]) + self.rules.state_ttl_seconds * 1000)
+            yield out.assign(expired=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            last = self._output(key, self._read())
+            self.state.clear()
+            yield last.assign(expired=True)
+
+
+def expiring_states(events: DataFrame, rules: FeedbackRules = FeedbackRules(), late: str = "1 day") -> DataFrame:
+    """Streaming: ``feedback_states`` with ``expired``; users go ``state_ttl_seconds`` after their last event.
+
+    Time is event time: it follows the newest event less ``late``, by which events may arrive out of
+    order.  A user's last row before they are forgotten carries their last state and ``expired`` true;
+    the next event of such a user starts a new state.
+    """
+    reduced = events.mapInPandas(_reduce_batch(rules.max_history), _REDUCED)
+    return (
+        reduced.withColumn("ts", F.timestamp_millis("ms"))
+        .withWatermark("ts", late)
+        .groupBy("user_id")
+        .transformWithStateInPandas(statefulProcessor=ExpiringFeedbackState(rules), outputStructType=OUTPUT_SCHEMA + ", expired boolean", outputMode="Update", timeMode="EventTime")
+    )
+
+
 def latest_states(history: DataFrame) -> DataFrame:
     """Newest state row per user from the written micro-batches."""
     return top_per(history, "user_id", [F.col("batch").desc()], 1, "_r").drop("_r", "batch")

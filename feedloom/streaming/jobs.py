@@ -38,14 +38,19 @@ def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "update", sink=None) -> DataFrame:
-    """Process what is there now and return everything the sink wrote."""
+def run_available(stream: DataFrame, label: str, mode: str = "update", sink=None, out: str | None = None, event_time: bool = False) -> DataFrame:
+    """Process what is there now and return everything the sink wrote.
+
+    With ``out`` of an earlier run the stream goes on where that run stopped: its progress lies
+    beside it, and a batch that was written but not committed is written again over itself.
+    ``event_time``: follow with the empty batches that let event-time timers fire.
+    """
     spark = stream.sparkSession
-    out = stage_path(spark, label)
+    out = out or stage_path(spark, label)
     # Processing-time state asks for another, empty batch after every batch; a run
     # over the data at hand must not follow that for ever.
     before = spark.conf.get(NO_DATA_KEY)
-    spark.conf.set(NO_DATA_KEY, "false")
+    spark.conf.set(NO_DATA_KEY, "true" if event_time else "false")
     try:
         query = (
             stream.writeStream.outputMode(mode)
