@@ -479,6 +479,20 @@ AND NOT EXISTS (SELECT 1 FROM seen_e x WHERE x.user_id = p.user_id AND x.video_i
         "users_test_e",
         "seen_e",
     ),
+    "policy_full": sql(
+        """
+SELECT user_id, video_id, pos, round(score, 4) + 0.0 AS score, source FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY st, p, video_id) AS pos FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id, video_id ORDER BY st, p) AS r FROM (
+SELECT user_id, video_id, final_rank AS p, rerank_score AS score, 'rerank' AS source, 0 AS st FROM final_o
+UNION ALL SELECT user_id, video_id, rank_position, CAST(rank_score AS DOUBLE), 'rank', 1 FROM ranked_o WHERE rank_position <= 25
+UNION ALL SELECT user_id, video_id, coarse_rank, CAST(coarse_score AS DOUBLE), 'prerank', 2 FROM cut_o WHERE coarse_rank <= 30
+UNION ALL SELECT user_id, video_id, merged_rank, CAST(merged_score AS DOUBLE), 'recall_candidates', 3 FROM merged_o WHERE merged_rank <= 50)) WHERE r = 1) WHERE pos <= 50""",
+        "final_o",
+        "ranked_o",
+        "cut_o",
+        "merged_o",
+    ),
     "policy_without_rerank": sql(
         """
 SELECT user_id, video_id, pos, round(score, 4) + 0.0 AS score, source FROM (

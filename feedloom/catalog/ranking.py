@@ -596,6 +596,60 @@ SELECT user_id, video_id, CAST(rank_score AS DOUBLE) AS s, author_id AS a, tag A
   count(*) OVER (PARTITION BY user_id) AS n FROM ranked_meta_o""",
 )
 
+_REASONS = [
+    ("ca >= 2", "author_cap_penalty"),
+    ("ca = 0", "new_author_bonus"),
+    ("a = la AND sa >= 1", "author_consecutive_penalty"),
+    ("a IS DISTINCT FROM la AND ca > 0", "author_repeat_penalty"),
+    ("ct >= 6", "tag_cap_penalty"),
+    ("ct = 0", "new_tag_bonus"),
+    ("t = lt AND st >= 2", "tag_consecutive_penalty"),
+    ("t IS DISTINCT FROM lt AND ct > 0", "tag_repeat_penalty"),
+    ("b > 0", "freshness_bonus"),
+]
+_REASON_SQL = " || ".join(f"CASE WHEN {c} THEN '|{n}' ELSE '' END" for c, n in _REASONS)
+_PENALTY = "CASE WHEN {n} >= {top} THEN {r} * ({n} - {top} + 1) ELSE 0.0 END + CASE WHEN {k} = {last} AND {run} >= {most} THEN {c} * {run} ELSE 0.0 END + CASE WHEN {k} IS DISTINCT FROM {last} AND {n} > 0 THEN {r} * {n} ELSE 0.0 END"
+_PA = _PENALTY.format(n="ca", top=2, r="CAST(0.05 AS DOUBLE)", k="a", last="la", run="sa", most=1, c="CAST(0.2 AS DOUBLE)")
+_PT = _PENALTY.format(n="ct", top=6, r="CAST(0.03 AS DOUBLE)", k="t", last="lt", run="st", most=2, c="CAST(0.1 AS DOUBLE)")
+cte(
+    "final_o",
+    ("greedy_rows",),
+    f"""
+WITH RECURSIVE base AS MATERIALIZED (SELECT * FROM greedy_rows),
+g AS (
+  SELECT user_id, 0 AS step, CAST([] AS BIGINT[]) AS vs, CAST([] AS BIGINT[]) AS aa, CAST([] AS VARCHAR[]) AS tt, CAST(NULL AS BIGINT) AS la, CAST(NULL AS VARCHAR) AS lt,
+    CAST(0 AS BIGINT) AS sa, CAST(0 AS BIGINT) AS st, CAST(NULL AS BIGINT) AS video_id, CAST(0 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS mult, CAST(0 AS DOUBLE) AS pa,
+    CAST(0 AS DOUBLE) AS pt, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS na, CAST(0 AS DOUBLE) AS nt, '' AS reason FROM (SELECT DISTINCT user_id FROM base)
+  UNION ALL
+  SELECT user_id, step + 1, list_append(vs, v), list_append(aa, a), list_append(tt, t), a, t, CASE WHEN a = la THEN sa + 1 ELSE 1 END, CASE WHEN t = lt THEN st + 1 ELSE 1 END,
+    v, value, mult, pa, pt, b, na, nt, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN reject AND NOT relaxed THEN 1 ELSE 0 END, value DESC, o) AS place,
+    CASE WHEN why = '' THEN 'base' ELSE substr(why, 2) END || CASE WHEN relaxed THEN '|relaxed_constraints' ELSE '' END AS reason FROM (
+  SELECT *, s * mult AS value, bool_and(reject) OVER (PARTITION BY user_id) AS relaxed FROM (
+  SELECT *, least(greatest(1.0 + (b + na + nt - pa - pt), CAST(0.55 AS DOUBLE)), CAST(1.35 AS DOUBLE)) AS mult, {_REASON_SQL} AS why FROM (
+  SELECT *, ca >= 2 AS reject, {_PA} AS pa, {_PT} AS pt, CASE WHEN ca = 0 THEN CAST(0.01 AS DOUBLE) ELSE 0 END AS na, CASE WHEN ct = 0 THEN CAST(0.03 AS DOUBLE) ELSE 0 END AS nt FROM (
+  SELECT g.user_id, g.step, g.vs, g.aa, g.tt, g.la, g.lt, g.sa, g.st, base.video_id AS v, base.a, base.t, base.s, CAST(base.b AS DOUBLE) AS b, base.o,
+    len(list_filter(g.aa, lambda x: x = base.a)) AS ca, len(list_filter(g.tt, lambda x: x = base.t)) AS ct
+  FROM g JOIN base ON g.user_id = base.user_id WHERE g.step < 20 AND NOT list_contains(g.vs, base.video_id)))))) WHERE place = 1
+)
+SELECT user_id, video_id, step AS final_rank, value AS rerank_score, mult AS score_multiplier, pa AS author_penalty, pt AS tag_penalty, b AS freshness_bonus,
+  na AS new_author_bonus, nt AS new_tag_bonus, reason AS adjustment_reason FROM g WHERE step > 0""",
+)
+cte(
+    "final_shown_o",
+    ("final_o", "ranked_meta_o"),
+    """
+SELECT m.*, f.final_rank, CASE WHEN lag(author_id) OVER w = author_id THEN 1 ELSE 0 END AS ra, CASE WHEN lag(tag) OVER w = tag THEN 1 ELSE 0 END AS rt
+FROM final_o f JOIN ranked_meta_o m ON f.user_id = m.user_id AND f.video_id = m.video_id WINDOW w AS (PARTITION BY f.user_id ORDER BY final_rank)""",
+)
+
+
+def _effect_sql() -> str:
+    before, after = list_metric_pairs("shown_o", "ranked_meta_o", "rank_position"), list_metric_pairs("final_shown_o", "ranked_meta_o", "final_rank")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({b} AS DOUBLE) AS b, CAST({a} AS DOUBLE) AS a" for (n, b), (_, a) in zip(before, after, strict=True))
+    return sql(f"SELECT metric, round(b, 5) + 0.0 AS before, round(a, 5) + 0.0 AS after, round(a - b, 5) + 0.0 AS delta FROM ({rows})", "shown_o", "final_shown_o", "ranked_meta_o")
+
+
 cte("pop_all_test_e", ("users_test_e", "popular_e"), "SELECT user_id, video_id FROM users_test_e CROSS JOIN popular_e")
 cte(
     "interest_e",
@@ -610,6 +664,13 @@ JOIN vec e ON e.id = h.video_id AND e.id IN (SELECT video_id FROM items_e))) GRO
 )
 
 ORACLES = {
+    "greedy_rerank": sql(
+        "SELECT user_id, video_id, "
+        + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("rerank_score", "score_multiplier", "author_penalty", "tag_penalty", "freshness_bonus", "new_author_bonus", "new_tag_bonus"))
+        + ", adjustment_reason, final_rank FROM final_o",
+        "final_o",
+    ),
+    "rerank_effect": _effect_sql(),
     "multitask_scores": sql("SELECT count(*) AS scored, count(*) AS in_range, CAST(1 AS INTEGER) AS held_out_loss_fell FROM cut_o", "cut_o"),
     "interest_scores": sql(
         """

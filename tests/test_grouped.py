@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.config import FeedbackRules, GraphRules, RepeatRules, RerankRules, VectorRules
 from feedloom.operators.ann import AnnRules, bucket_search, cell_search
-from feedloom.operators.rerank import greedy_rerank
+from feedloom.operators.rerank import _reachable, greedy_rerank
 from feedloom.operators.scoring import interest_scores
 from feedloom.operators.sequences import user_sequences
 from feedloom.operators.vector_search import blocked_topk, exact_topk, recency_profiles
@@ -88,6 +88,34 @@ def test_greedy_matches_plain_python(spark, rules):
         assert np.allclose([s for _, s in mine], [s for _, s in want])
 
 
+def test_greedy_on_long_lists(spark):
+    """Thousands of rows, many of them tied or below zero: only reachable ones are collected, the picks are the same."""
+    rng = np.random.default_rng(9)
+    rules = RerankRules(topk=7)
+    data = [
+        (u, v, float(rng.integers(-40, 60)) / 100.0, float(rng.integers(0, 2)), 0.0, int(rng.integers(0, 300)), f"t{rng.integers(0, 3)}", float(rng.choice([0, 30])))
+        for u, n in ((1, 4000), (2, 9), (3, 700))
+        for v in range(n)
+    ] + [(4, v, 0.5 + v / 1e7, 0.0, 0.0, v, "t", 0.0) for v in range(100_000)]
+    df = spark.createDataFrame(data, RANKED).withColumn("extra", F.lit("kept"))
+    got = greedy_rerank(df, rules).orderBy("user_id", "final_rank").collect()
+    for u in (1, 2, 3, 4):
+        items = sorted((dict(v=r[1], s=r[2], c=r[3], a=r[5], t=r[6], d=r[7]) for r in data if r[0] == u), key=lambda x: (-x["s"], -x["c"], x["v"]))
+        items = [x | {"v": i, "own": x["v"]} for i, x in enumerate(items)]  # ties go by place
+        want = greedy_reference(items if u != 4 else items[:200], rules)
+        mine = [r for r in got if r["user_id"] == u]
+        assert [r["video_id"] for r in mine] == [items[v]["own"] for v, _ in want] and {r["extra"] for r in mine} == {"kept"}
+    keyed = df.withColumns({"_k1": -F.col("rank_score"), "_k2": -F.col("coarse_score"), "_k3": -F.col("merged_score"), "_author": F.col("author_id"), "_tag": F.col("tag"), "_bonus": F.col("freshness_days")})
+    left = {r[0]: r[1] for r in _reachable(keyed, rules).groupBy("user_id").count().collect()}
+    assert left[4] == 7 and left[2] == 9
+
+
+def test_greedy_moves_the_rows_once(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.0, 0.0, 1, "x", 0.0)], RANKED)
+    plan = greedy_rerank(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1, plan
+
+
 def _vectors(spark, m, start=0):
     return spark.createDataFrame([(i + start, [float(x) for x in row]) for i, row in enumerate(m)], "id long, vector array<float>")
 
