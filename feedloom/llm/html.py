@@ -38,12 +38,19 @@ SELF_CLOSING = {
     "option": (("option",), ("select",)),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of a page that are never article text: by element, by role, and by a word of class or id.
-DROP = frozenset("nav footer aside form button select input dialog menu".split())
+#: Elements that are never article text, and those, like some roles and names, that only may not be.
+DROP = frozenset("nav footer aside button select input dialog menu".split())
+DOUBTED = frozenset("form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Words of class and id.  A name is doubted if it holds one of ``NAMES`` and else only words of ``PLAIN``.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+PLAIN = frozenset("area bar block box btn button buttons column container content form global group inner item items left link links list main outer panel post posts primary right secondary section site slot stories thread top bottom unit user wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus respond responses".split())
+#: Text beside a doubted block that can be the page's own, in characters.
+ENOUGH = 140
+LOOSE, NAMED, READERS = 1, 2, 3
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
@@ -52,35 +59,40 @@ SPLIT_NAME = re.compile(r"[^a-z]+")
 class Node:
     """A block element: its parts are strings and nodes; links count characters of its own text."""
 
-    __slots__ = ("tag", "parts", "links", "dropped", "suspect", "own", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parts", "links", "dropped", "doubt", "inline", "anchors", "own", "chars", "tags", "link_chars", "link_tags", "holds", "sum", "density")
 
-    def __init__(self, tag: str, dropped: bool, suspect: bool = False):
-        self.tag, self.dropped, self.suspect = tag, dropped, suspect
+    def __init__(self, tag: str, dropped: bool, doubt: int = 0):
+        self.tag, self.dropped, self.doubt = tag, dropped, doubt
         self.parts: list = []
-        self.links = self.link_tags = 0
+        self.links = self.inline = self.anchors = 0
 
+    def kids(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node) and not p.dropped and p.tag != "head"]
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether a block goes, and whether it goes if most of it is links.
 
-    Outside article and main one word of a class or id is enough.  Inside them ``entry-header`` or
-    ``related-work`` may be of the article: there a whole class or id has to match.
-    """
+def _doubt(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether a block goes, and else how its names speak against it; density has the last word on those."""
     if tag in DROP or (tag == "header" and not in_article):
-        return True, False
-    suspect = False
+        return True, 0
+    doubt = NAMED if tag in DOUBTED else 0
+    if tag in ("body", "html", "main"):
+        return False, 0
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in ROLES:
-                return True, False
-        elif tag not in ("body", "html", "article", "main"):
-            if NAMES.isdisjoint(SPLIT_NAME.split(value)):
+                doubt = max(doubt, NAMED)
+            continue
+        for name in value.split():
+            words = [w for w in SPLIT_NAME.split(name) if w]
+            known = NAMES.intersection(words)
+            if not known or (known == {"header"} and (in_article or len(words) > 1 and "site" not in words)):
                 continue
-            if not in_article or not (NAMES - {"header"}).isdisjoint(value.split()):
-                return True, False
-            suspect = True
-    return False, suspect
+            if known and PLAIN.union(NAMES).issuperset(words):
+                doubt = max(doubt, READERS if known <= COMMENTS else NAMED)
+            else:
+                doubt = max(doubt, LOOSE)
+    return False, doubt if tag != "article" or doubt == READERS else 0
 
 
 def parse(page: str) -> Node:
@@ -153,11 +165,11 @@ def parse(page: str) -> Node:
                 close(low)
         _, block, link = stack[-1]
         if tag in INLINE:
-            if tag == "a":
-                block.link_tags += 1
+            block.inline += 1
+            block.anchors += tag == "a"
             stack.append((tag, block, link or tag == "a"))
         else:
-            child = Node(tag, *_unwanted(tag, m[3], any(t in ("article", "main") for t, _, _ in stack)))
+            child = Node(tag, *_doubt(tag, m[3], any(t in ("article", "main") for t, _, _ in stack)))
             block.parts.append(child)
             stack.append((tag, child, link))
     return root
@@ -169,28 +181,29 @@ def _walk(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped and p.tag != "head"]
+        todo += reversed(node.kids())
     return out
 
 
-def main_text(page: str) -> str:
-    root = parse(page)
-    nodes = _walk(root)
-    parent: dict[int, Node] = {}
+def _measured(root: Node) -> tuple[list[Node], dict[int, Node], Node]:
+    """The nodes that stay with the characters and tags of their subtrees, their parents, and the body."""
+    nodes, parent = _walk(root), {}
     for node in reversed(nodes):
-        kids = [p for p in node.parts if isinstance(p, Node) and not p.dropped and p.tag != "head"]
+        kids = node.kids()
         for k in kids:
             parent[id(k)] = node
         node.own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
         node.chars = node.own + sum(k.chars for k in kids)
-        node.tags = len(kids) + node.link_tags + sum(k.tags for k in kids)
+        node.tags = node.inline + len(kids) + sum(k.tags for k in kids)
         node.link_chars = node.links + sum(k.link_chars for k in kids)
-        node.link_tags += sum(k.link_tags for k in kids)
-        node.dropped = node.suspect and 2 * node.link_chars > node.chars
-    nodes = _walk(root)
+        node.link_tags = node.anchors + sum(k.link_tags for k in kids)
+        node.holds = (node.tag in ("article", "main") and node.doubt != READERS and node.chars > 0) or any(k.holds for k in kids)
     body = next((n for n in nodes if n.tag == "body"), root)
-    if not body.chars:
-        body = root
+    return nodes, parent, body if body.chars else root
+
+
+def _densest(nodes: list[Node], parent: dict[int, Node], body: Node) -> Node:
+    """Sets each node's density, and finds the one whose children's densities have the largest sum."""
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
@@ -198,9 +211,55 @@ def main_text(page: str) -> str:
         node.density = c / t * max(0.0, math.log(c / lc * t / lt + 1e-9) / math.log(base + 1)) if c else 0.0
     best, most = body, -1.0
     for node in nodes:
-        node.sum = sum(k.density for k in node.parts if isinstance(k, Node) and not k.dropped and k.tag != "head")
+        node.sum = sum(k.density for k in node.kids())
         if node.sum > most or (node.sum == most and parent.get(id(node)) is best):
             best, most = node, node.sum
+    return best
+
+
+def _settle(root: Node) -> None:
+    """Drops doubted blocks where the page's text is elsewhere.
+
+    A block that holds the article or main element stays.  Reader comments go if enough text is left beside
+    them.  Other doubted blocks go unless the densest node is in them; then only if what lies beside them is
+    enough and at least a quarter of theirs.  So the name of a wrapper round the whole page does nothing.
+    """
+    for kinds in ((READERS,), (LOOSE, NAMED)):
+        nodes, parent, body = _measured(root)
+        if not any(n.doubt in kinds for n in nodes):
+            continue
+        way, node = set(), _densest(nodes, parent, body)
+        while node is not None:
+            way.add(id(node))
+            node = parent.get(id(node))
+        left = body.chars - body.link_chars
+        gone: set[int] = set()
+        for n in nodes:
+            if id(parent.get(id(n))) in gone:
+                gone.add(id(n))
+                continue
+            if n.doubt not in kinds or n.holds:
+                continue
+            own = n.chars - n.link_chars
+            beside = left - own
+            if n.doubt == READERS:
+                drop = beside >= min(ENOUGH, own)
+            elif n.doubt == LOOSE:
+                drop = 2 * n.link_chars > n.chars and id(n) not in way
+            else:
+                drop = id(n) not in way or (beside >= ENOUGH and 4 * beside >= own)
+            if drop:
+                n.dropped = True
+                gone.add(id(n))
+                left -= own
+
+
+def main_text(page: str) -> str:
+    root = parse(page)
+    _settle(root)
+    nodes, parent, body = _measured(root)
+    best = _densest(nodes, parent, body)
+    share = body.link_chars / max(1, body.chars)
     limit, node = best.density, best
     while node is not body and id(node) in parent:
         node = parent[id(node)]
