@@ -50,6 +50,17 @@ def distinct_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], n
     return distinct, places, ends
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def by_key(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of which some may be null; the key columns of the right side go."""
     marked = right.select(*[F.col(n).alias(f"__r_{n}") if n in names else F.col(n) for n in right.columns])

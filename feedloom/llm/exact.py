@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import by_key, id_text
+from feedloom.llm.common import by_key, id_text, unused
 from feedloom.session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,9 +64,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = by_key(by_key(docs, if_small(gone), [id_col], "left_anti"), if_small(mixed), [id_col], "left_anti")
     if mixed.isEmpty():
         return kept
-    again = by_key(docs, if_small(mixed), [id_col], "left_semi").withColumn("__t", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    best = docs.groupBy(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("__t")).agg(F.max(id_col).alias("__keep"))
-    again = again.join(best, "__t").where(F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates([id_col, "__t"])
+    digest, keep = unused(docs, "__t", "__keep")
+    again = by_key(docs, if_small(mixed), [id_col], "left_semi").withColumn(digest, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    best = docs.groupBy(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256).alias(digest)).agg(F.max(id_col).alias(keep))
+    again = again.join(best, digest).where(F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([id_col, digest])
     return kept.unionByName(again.select(*docs.columns))
 
 

@@ -80,9 +80,11 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_filters(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit_filters(rows: DataFrame, least: float = LEAST, near: float = PART) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, masks [words, SLOTS] and the chance of a false hit per language, from ``rows`` (text, lang).
 
+    ``least`` and ``near`` decide which n-grams a language's filter takes: those of at least that share of its
+    n-grams, and of at least that part of the largest share in any language (0 and 0: every n-gram seen).
     What comes to the driver is the filter alone: SLOTS words for each 62 languages.
     """
     counts = stage(gram_counts(rows), "langgrams")
@@ -91,9 +93,9 @@ def fit_filters(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     masks = np.zeros((max(1, -(-len(langs) // WORD)), SLOTS), np.uint64)
     if langs:
         share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, totals[lang])))])
-        rates = counts.withColumn("rate", F.col("n") / share[F.col("lang")]).where(F.col("rate") >= LEAST)
+        rates = counts.withColumn("rate", F.col("n") / share[F.col("lang")]).where(F.col("rate") >= least)
         top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-        kept = rates.join(top, "gram").where(F.col("rate") >= PART * F.col("top"))
+        kept = rates.join(top, "gram").where(F.col("rate") >= near * F.col("top"))
         number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])[F.col("lang")]
         slot = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("gram", 21 * k), F.lit(SLOTS)) for k in range(HASHES)]))
         bits = kept.select(number.alias("k"), slot.alias("slot")).select("slot", F.floor(F.col("k") / WORD).alias("word"), F.expr(f"shiftleft(1L, k % {WORD})").alias("bit"))
@@ -135,7 +137,7 @@ def predict(rows: DataFrame, langs: list[str], masks: np.ndarray, chance: np.nda
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, least: float = LEAST, near: float = PART) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; rows with crc32(id) mod ``parts`` = ``part`` are not learned from.
 
     Null text, or one without a letter: ``und``, score 0.  Ties: the first language by name.
@@ -144,6 +146,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = id_text(docs, id_col, text_col)
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col), parts, part))
-    langs, masks, chance = fit_filters(known.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    langs, masks, chance = fit_filters(known.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")), least, near)
     found = predict(rows, langs, masks, chance)
     return found.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.ordering import dense_numbers
-from feedloom.llm.common import by_key, id_text, ragged, run_hashes, smaller, word_hashes
+from feedloom.llm.common import by_key, id_text, ragged, run_hashes, smaller, unused, word_hashes
 from feedloom.llm.exact import if_small
 from feedloom.session import stage
 
@@ -223,12 +223,12 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the duplicate words taken out of the text (other words joined by a space); other texts and columns stay as they are."""
     _, copies, factors = parsed(docs, id_col, text_col, window, gram, True)
-    keys = ["__d", "__k"]
-    changed = copies.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.lit("").alias("__t"))
-    changed = stage(changed.unionByName(factors.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("kept_text").alias("__t"))).dropDuplicates(keys), "subchanged")
-    marked = docs.withColumns({"__d": F.col(id_col), "__k": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    *keys, left = unused(docs, "__d", "__k", "__t")
+    named = lambda df, text: df.select(F.col("doc_id").alias(keys[0]), F.col("text_key").alias(keys[1]), text.alias(left))
+    changed = stage(named(copies, F.lit("")).unionByName(named(factors, F.col("kept_text"))).dropDuplicates(keys), "subchanged")
+    marked = docs.withColumns({keys[0]: F.col(id_col), keys[1]: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     same = by_key(marked, if_small(changed.select(*keys)), keys, "left_anti").select(*docs.columns)
-    rest = by_key(marked.drop(text_col), changed, keys).withColumnRenamed("__t", text_col)
+    rest = by_key(marked.drop(text_col), changed, keys).withColumnRenamed(left, text_col)
     return same.unionByName(rest.select(*docs.columns))
 
 

@@ -1,8 +1,9 @@
 """URL filters by temporal list join.
 
 A list's dated entries (a key put on it or taken off it) become validity intervals per key.  Every
-capture looks up its host, the domains above it and its host with path; an as-of join keeps the
-entries active at the fetch time.  The most specific active entry decides.
+capture looks up its host, every domain above it and its host with every beginning of its path, as
+far as the list has such keys; an as-of join keeps the entries active at the fetch time.  The most
+specific active entry decides.
 """
 
 from __future__ import annotations
@@ -12,9 +13,6 @@ from pyspark.sql import functions as F
 
 from feedloom.session import stage
 
-#: Labels of a host that are looked up as domains; deeper hosts are looked up whole as well.
-LABELS = 4
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host: what stands after the scheme and any user, up to a port, path, query or fragment."""
@@ -37,15 +35,17 @@ def intervals(entries: DataFrame) -> DataFrame:
     return known.select("key", F.coalesce("category", F.lit("")).alias("category"), "action", F.col("day").alias("start"), nxt.alias("end")).where("action = 'add'").drop("action")
 
 
-def lookups(captures: DataFrame, url_col: str) -> DataFrame:
-    """The keys of each capture with their rank: 0 for host and first path part, then longer before shorter domains."""
+def lookups(captures: DataFrame, url_col: str, labels: int, depth: int) -> DataFrame:
+    """The keys of each capture with their rank: longer before shorter paths, then longer before shorter domains.
+
+    ``labels`` and ``depth``: the most labels and path parts that any key of the list has.
+    """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    parts = F.split("__host", r"\.")
-    domains = [F.when(F.size(parts) >= k, F.struct(F.lit(LABELS + 1 - k).alias("rank"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), F.lit(k)), ".").alias("key"))) for k in range(2, LABELS + 1)]
-    whole = F.when(F.size(parts) > LABELS, F.struct(F.lit(1).alias("rank"), F.col("__host").alias("key")))
-    section = F.when(F.col("__path") != "", F.struct(F.lit(0).alias("rank"), F.concat("__host", F.lit("/"), F.split("__path", "/")[1]).alias("key")))
-    keyed = captures.withColumns({"__host": host, "__path": path}).withColumn("__keys", F.filter(F.array(section, whole, *domains), lambda k: k.isNotNull()))
-    return keyed
+    names, parts = F.split("__host", r"\."), F.split("__path", "/")
+    upto = lambda size, most: F.when(F.least(size, F.lit(most)) >= 1, F.sequence(F.lit(1), F.least(size, F.lit(most)))).otherwise(F.array().cast("array<int>"))
+    domains = F.transform(upto(F.size(names), labels), lambda k: F.struct((F.size(names) - k + 1).alias("rank"), F.array_join(F.slice(names, F.size(names) - k + 1, k), ".").alias("key")))
+    sections = F.transform(upto(F.size(parts) - 1, depth), lambda k: F.struct((-k).alias("rank"), F.concat("__host", F.lit("/"), F.array_join(F.slice(parts, 2, k), "/")).alias("key")))
+    return captures.withColumns({"__host": host, "__path": path}).withColumn("__keys", F.when(F.col("__host") != "", F.concat(domains, sections)))
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day") -> DataFrame:
@@ -58,7 +58,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("day"))
     pairs = rows.groupBy("url", "day").agg(F.count(F.lit(1)).alias("n"))
-    keyed = lookups(pairs.select("url", "day"), "url").select("url", "day", F.explode("__keys").alias("k")).select("url", "day", "k.rank", "k.key")
+    top = F.split("key", "/")
+    deepest = entries.agg(F.max(F.size(F.split(top[0], r"\."))).alias("labels"), F.max(F.size(top) - 1).alias("depth")).first()
+    keyed = lookups(pairs.select("url", "day"), "url", deepest.labels or 0, deepest.depth or 0).select("url", "day", F.explode("__keys").alias("k")).select("url", "day", "k.rank", "k.key")
     active = keyed.join(intervals(entries), "key").where((F.col("start") <= F.col("day")) & (F.col("end").isNull() | (F.col("day") < F.col("end"))))
     best = stage(active.groupBy(F.col("url").alias("u"), F.col("day").alias("d")).agg(F.min(F.struct("rank", "key", "category")).alias("hit")), "urlhits")
     found = rows.join(best, (F.col("url") == F.col("u")) & (F.col("day") == F.col("d")), "left")
@@ -115,9 +117,10 @@ WITH p AS (
 ), intervals AS (
   SELECT * FROM (SELECT key, category, action, n, lead(n) OVER (PARTITION BY key ORDER BY n) AS until FROM entries) WHERE action = 'add'
 ), keyed AS (
-  SELECT page_id, page_id % 365 AS n, 0 AS rank, section AS key FROM q
-  UNION ALL SELECT page_id, page_id % 365, 1, host FROM q WHERE len(parts) > 4
-  UNION ALL SELECT page_id, page_id % 365, 5 - m, array_to_string(parts[len(parts) - m + 1 :], '.') FROM q CROSS JOIN (VALUES (2), (3), (4)) AS v(m) WHERE len(parts) >= m
+  SELECT page_id, page_id % 365 AS n, -m AS rank, host || '/' || array_to_string(steps[2 : m + 1], '/') AS key
+  FROM (SELECT *, string_split(path, '/') AS steps, unnest(range(1, len(string_split(path, '/')))) AS m FROM q WHERE host <> '')
+  UNION ALL SELECT page_id, page_id % 365, len(parts) - m + 1, array_to_string(parts[len(parts) - m + 1 :], '.')
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS m FROM q WHERE host <> '')
 ), hits AS (
   SELECT page_id, min(ROW(rank, key, category)) AS hit FROM keyed JOIN intervals USING (key)
   WHERE keyed.n >= intervals.n AND (until IS NULL OR keyed.n < until) GROUP BY page_id

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))])
 #: Columns with names that operators use themselves.
-CLASH = ["n_words", "kept", "node", "component", "tab", "text_key", "label", "x", "keys", "len", "prefix", "num", "score", "words", "lines"]
+CLASH = ["n_words", "kept", "node", "component", "tab", "text_key", "label", "x", "keys", "len", "prefix", "num", "score", "words", "lines", "__d", "__k", "__t", "__key", "__keep"]
 
 
 @pytest.fixture(scope="session")

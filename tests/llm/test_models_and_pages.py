@@ -98,6 +98,55 @@ def test_names_inside_an_article():
     assert "Gone" not in html.main_text(f"<body><div class=cookie-notice>Gone</div><div class=site-header>Gone</div><article>{p * 4}</article></body>")
 
 
+def test_url_keys_of_any_depth(spark):
+    d = datetime.date(2024, 1, 1)
+    keys = ["a.b.c.example.co.uk", "localhost", "example.org/x/y", "example.org/x/y/z/w", "com", "v6.example.net/"]
+    entries = spark.createDataFrame([(k, k, "add", d) for k in keys], "key string, category string, action string, day date")
+    urls_ = {
+        "http://q.w.a.b.c.example.co.uk/": "a.b.c.example.co.uk",
+        "http://b.c.example.co.uk/": None,
+        "http://localhost/x": "localhost",
+        "http://example.org/x/y": "example.org/x/y",
+        "http://example.org/x/y/z?q": "example.org/x/y",
+        "http://example.org/x/y/z/w/v": "example.org/x/y/z/w",
+        "http://example.org/x": None,
+        "http://shop.com/x": "com",
+        "http://v6.example.net/": "v6.example.net/",
+        "": None,
+        "http://example.org/" + "x/" * 50_000: None,
+        "http://" + "l." * 5_000 + "com/": "com",
+    }
+    captures = spark.createDataFrame([(k, u, d) for k, u in enumerate(urls_)], "page_id long, url string, day date")
+    got = {r.url: r.key for r in urls.judge(captures, entries).collect()}
+    assert got == urls_
+
+
+def plain_pairs(rows, each):
+    """(good, bad) ids: each row against ``each`` rows of the other class."""
+    return {label: sum(1 for _, y in rows if y == label) * each for label in (0, 1)}
+
+
+def test_pairs_meet_every_row_and_no_row_of_their_own_class(spark):
+    rows = [(i, int(i % 3 > 0), [float(i)]) for i in range(1500)]
+    met = quality.pairs(spark.createDataFrame(rows, "doc_id long, label int, x array<double>"), 8).collect()
+    assert len(met) == sum(plain_pairs([(i, y) for i, y, _ in rows], 8).values())
+    assert all(int(r.good[0]) % 3 > 0 and int(r.bad[0]) % 3 == 0 for r in met)
+    assert len({r.good[0] for r in met}) == 1000 and len({r.bad[0] for r in met}) == 500
+
+
+def test_filters_hold_the_grams_that_plain_sets_hold(spark):
+    texts = [("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chat et le chien", "fr")]
+    langs, masks, chance = langid.fit_filters(spark.createDataFrame(texts, "text string, lang string"), 0.0, 0.0)
+    plain = {lang: {int(g) for t, own in texts if own == lang for g in langid._grams(t)} for lang in langs}
+    assert langs == ["de", "en", "fr"] and (chance < 1e-6).all()
+    import numpy as np
+
+    for g in set().union(*plain.values()):
+        found = masks[0][[s[0] for s in langid._slots(np.array([g], np.uint64))]]
+        held = np.bitwise_and.reduce(found)
+        assert {lang for k, lang in enumerate(langs) if int(held) >> k & 1} == {lang for lang in langs if g in plain[lang]}
+
+
 def test_url_lists_over_time(spark):
     d = datetime.date
     entries = spark.createDataFrame(
@@ -134,6 +183,14 @@ def test_pipeline_equals_plain_steps(spark, small):
     assert got.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_stages_of_an_empty_table_and_a_long_text(spark, table):
+    for docs, most in ((table([]), 0), (table([(1, "many different words " * 60_000), (2, None)]), 2)):
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            left = step(spark, docs, "")
+            assert left.columns == docs.columns and left.count() <= most
+            assert {r["__d"] for r in left.select("__d").collect()} <= {"clash"}
+
+
 def test_stages_take_odd_rows(spark, table, tmp_path):
     docs = table([(1, None), (2, ""), (2, ""), (None, "a b"), (3, "word " * 500), (4, "word " * 500)])
     for _, step in corpus_pipeline.STAGES[:-1]:
