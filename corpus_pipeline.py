@@ -2,6 +2,11 @@
 
 Every stage reads the documents that its predecessor wrote and returns the columns of ``documents``;
 the last returns the pieces with their sequences.
+
+Null text counts as empty everywhere: the quality rules reject it, as they do a text of any kind that
+has too few words.  Rows with a null id stay documents of their own.  Rows that repeat id and text share
+their fate; exact dedup keeps one of them.  Columns besides id and text may be called anything and
+travel along.  Empty table: no rows after any stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import by_key, documents
+from feedloom.llm.common import by_key, documents, unused
 from feedloom.llm.exact import drop_copies, if_small
 from feedloom.llm.minhash import near_classes
 from feedloom.llm.packing import pack_documents
@@ -20,11 +25,12 @@ from feedloom.session import stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; a document is an id with its text."""
-    marked = docs.withColumn("__key", F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")))
-    judged = rule_quality(marked, "__key", "text")
-    rejected = stage(judged.where(~F.col("kept")).select(F.col("doc_id.d").alias("__d"), F.col("doc_id.k").alias("__k")).distinct(), "rejected")
-    keyed = docs.withColumns({"__d": F.col("doc_id"), "__k": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return by_key(keyed, if_small(rejected), ["__d", "__k"], "left_anti").select(*docs.columns)
+    key, *pair = unused(docs, "__key", "__d", "__k")
+    marked = docs.withColumn(key, F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")))
+    judged = rule_quality(marked, key, "text")
+    rejected = stage(judged.where(~F.col("kept")).select(F.col("doc_id.d").alias(pair[0]), F.col("doc_id.k").alias(pair[1])).distinct(), "rejected")
+    keyed = docs.withColumns({pair[0]: F.col("doc_id"), pair[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return by_key(keyed, if_small(rejected), pair, "left_anti").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
