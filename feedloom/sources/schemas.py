@@ -7,29 +7,38 @@ from collections.abc import Iterable
 from pyspark.sql import types as T
 
 # Names and order of the raw columns.
-LOG_COLUMNS = """user_id video_id date hourmin time_ms is_click is_like is_follow is_comment
-is_forward is_hate long_view play_time_ms duration_ms profile_stay_time comment_stay_time
-is_profile_enter is_rand tab""".split()
+LOG_COLUMNS = [
+    "user_id", "video_id", "date", "hourmin", "time_ms", "is_click", "is_like", "is_follow", "is_comment",
+    "is_forward", "is_hate", "long_view", "play_time_ms", "duration_ms", "profile_stay_time",
+    "comment_stay_time", "is_profile_enter", "is_rand", "tab",
+]
 
-USER_COLUMNS = """user_id user_active_degree is_lowactive_period is_live_streamer is_video_author
-follow_user_num follow_user_num_range fans_user_num fans_user_num_range friend_user_num
-friend_user_num_range register_days register_days_range""".split() + [
+USER_COLUMNS = [
+    "user_id", "user_active_degree", "is_lowactive_period", "is_live_streamer", "is_video_author",
+    "follow_user_num", "follow_user_num_range", "fans_user_num", "fans_user_num_range", "friend_user_num",
+    "friend_user_num_range", "register_days", "register_days_range",
+] + [
     f"onehot_feat{i}" for i in range(18)
 ]
 
-ITEM_COLUMNS = """video_id author_id video_type upload_dt upload_type visible_status video_duration
-server_width server_height music_id music_type tag""".split()
-
-ITEM_STAT_COLUMNS = """video_id counts show_cnt show_user_num play_cnt play_user_num play_duration
-complete_play_cnt complete_play_user_num valid_play_cnt valid_play_user_num long_time_play_cnt
-long_time_play_user_num short_time_play_cnt short_time_play_user_num play_progress
-comment_stay_duration like_cnt like_user_num click_like_cnt double_click_cnt cancel_like_cnt
-cancel_like_user_num comment_cnt comment_user_num direct_comment_cnt reply_comment_cnt
-delete_comment_cnt delete_comment_user_num comment_like_cnt comment_like_user_num follow_cnt
-follow_user_num cancel_follow_cnt cancel_follow_user_num share_cnt share_user_num download_cnt
-download_user_num report_cnt report_user_num reduce_similar_cnt reduce_similar_user_num collect_cnt
-collect_user_num cancel_collect_cnt cancel_collect_user_num direct_comment_user_num
-reply_comment_user_num share_all_cnt share_all_user_num outsite_share_all_cnt""".split()
+ITEM_COLUMNS = [
+    "video_id", "author_id", "video_type", "upload_dt", "upload_type", "visible_status", "video_duration",
+    "server_width", "server_height", "music_id", "music_type", "tag",
+]
+
+ITEM_STAT_COLUMNS = [
+    "video_id", "counts", "show_cnt", "show_user_num", "play_cnt", "play_user_num", "play_duration",
+    "complete_play_cnt", "complete_play_user_num", "valid_play_cnt", "valid_play_user_num",
+    "long_time_play_cnt", "long_time_play_user_num", "short_time_play_cnt", "short_time_play_user_num",
+    "play_progress", "comment_stay_duration", "like_cnt", "like_user_num", "click_like_cnt",
+    "double_click_cnt", "cancel_like_cnt", "cancel_like_user_num", "comment_cnt", "comment_user_num",
+    "direct_comment_cnt", "reply_comment_cnt", "delete_comment_cnt", "delete_comment_user_num",
+    "comment_like_cnt", "comment_like_user_num", "follow_cnt", "follow_user_num", "cancel_follow_cnt",
+    "cancel_follow_user_num", "share_cnt", "share_user_num", "download_cnt", "download_user_num",
+    "report_cnt", "report_user_num", "reduce_similar_cnt", "reduce_similar_user_num", "collect_cnt",
+    "collect_user_num", "cancel_collect_cnt", "cancel_collect_user_num", "direct_comment_user_num",
+    "reply_comment_user_num", "share_all_cnt", "share_all_user_num", "outsite_share_all_cnt",
+]
 
 _TEXT = {
     "user_active_degree",

@@ -15,7 +15,6 @@ from feedloom.sources.schemas import (
     ITEM_SCHEMA,
     ITEM_STAT_COLUMNS,
     ITEM_STAT_SCHEMA,
-    LOG_COLUMNS,
     LOG_SCHEMA,
     USER_COLUMNS,
     USER_SCHEMA,
@@ -40,20 +39,30 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str | list[str],
-    schema: T.StructType,
-    table: str,
-) -> DataFrame:
+def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths by their header line: one read takes all its files by one header.  A folder has one layout."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        out.setdefault(tuple(spark.read.csv(p, header=True, inferSchema=False).columns), []).append(p)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, table: str, source: bool = False) -> DataFrame:
     """Header CSV projected to ``schema`` by column name; extra columns are dropped.
 
-    The header is read once for the column check; values are parsed with the
-    declared types, so no inference pass runs over the data.
+    Several paths may order their columns differently.  Headers are read once for the column check; values
+    are parsed with the declared types, so no inference pass runs over the data.  ``source`` adds the
+    name of each row's file as ``source_file``.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    require_columns(raw.columns, schema.fieldNames(), table)
-    return _typed(raw, schema)
+    parts = []
+    for header, same in _by_header(spark, [path] if isinstance(path, str) else list(path)).items():
+        require_columns(list(header), schema.fieldNames(), table)
+        raw = spark.read.csv(same, header=True, inferSchema=False)
+        if source:
+            raw = raw.select("*", F.col("_metadata.file_name").alias("source_file"))
+        fields = schema.fields + ([T.StructField("source_file", T.StringType())] if source else [])
+        parts.append(_typed(raw, T.StructType(fields)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_logs(
@@ -66,19 +75,10 @@ def read_logs(
     files = list(paths) + (list(random_paths or []) if include_random else [])
     if not files:
         raise ValueError("no log files configured")
-    typed = T.StructType(LOG_SCHEMA.fields + [T.StructField("source_file", T.StringType())])
-    by_header: dict[tuple[str, ...], list[str]] = {}  # one read takes all its files by one header
-    for p in files:
-        by_header.setdefault(tuple(spark.read.csv(p, header=True, inferSchema=False).columns), []).append(p)
-    parts = []
-    for header, same in by_header.items():
-        require_columns(list(header), LOG_COLUMNS, "log")
-        raw = spark.read.csv(same, header=True, inferSchema=False)
-        parts.append(_typed(raw.select("*", F.col("_metadata.file_name").alias("source_file")), typed))
-    return reduce(DataFrame.unionByName, parts)
+    return read_csv(spark, files, LOG_SCHEMA, "log", source=True)
 
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
+def read_users(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_csv(spark, path, USER_SCHEMA, "user_features")
 
 
@@ -89,7 +89,7 @@ def assert_unique(df: DataFrame, keys: list[str], table: str) -> None:
         raise ValueError(f"{table} has duplicate keys {keys}: {hit[0].asDict()}")
 
 
-def read_items(spark: SparkSession, basic_path: str, stat_path: str) -> DataFrame:
+def read_items(spark: SparkSession, basic_path: str | list[str], stat_path: str | list[str]) -> DataFrame:
     basic = read_csv(spark, basic_path, ITEM_SCHEMA, "item_basic")
     stat = read_csv(spark, stat_path, ITEM_STAT_SCHEMA, "item_stat")
     return join_item_tables(basic, stat)
