@@ -153,6 +153,63 @@ def test_excerpts_of_earlier_texts_go_whole(table, prose):
     assert {r[0]: r[1] for r in spans} == {i: want[i, t][1] for i, t in rows if want[i, t][1]}
 
 
+def test_greedy_factors_are_the_longest():
+    r = random.Random(3)
+    for _ in range(300):
+        block = [b"%d" % r.randrange(3) for _ in range(r.randrange(30))]
+        words = [b"%d" % r.randrange(3) for _ in range(r.randrange(30))]
+        index = defaultdict(list)
+        for k in range(len(block) - 2):
+            index[tuple(block[k : k + 3])].append(k)
+        ahead = r.choice([len(block), r.randrange(10)])
+        got = {i: (n, s) for i, n, s in substring.greedy_factors(words, block, index, 3, ahead)}
+        covered = set()
+        for i in range(len(words) - 2):
+            best = max((next((n for n in range(min(len(words) - i, len(block) - s), 2, -1) if words[i : i + n] == block[s : s + n]), 0) for s in range(min(len(block), ahead + i))), default=0)
+            if i in got:
+                n, s = got[i]
+                assert n == best and (not n or words[i : i + n] == block[s : s + n] and s < ahead + i)
+                covered.update(range(i, i + n))
+            elif best:
+                assert {i, i + 1, i + 2} <= covered
+
+
+@pytest.fixture(scope="module")
+def pasted(prose):
+    """Long texts of several blocks, passages across block boundaries, repeats within one text."""
+    r, texts = random.Random(8), [prose(900, 60).split(" ")]
+    for k in range(12):
+        w = prose(40, 70 + k).split(" ")
+        for _ in range(5):
+            old = r.choice(texts)
+            at = r.randrange(max(1, len(old) - 30))
+            w += old[at : at + r.randrange(15, 400)] + (prose(5, r.randrange(99)).split(" ") if r.random() < 0.5 else [])
+        texts.append(w + w[10:60] if k % 3 == 0 else w)
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("bits,small", [(64, True), (64, False), (5, True)])
+def test_parsing_of_long_texts(table, pasted, monkeypatch, bits, small):
+    if not small:
+        monkeypatch.setattr(substring, "if_small", lambda df: df)
+    want = plain_substring(pasted)
+    _, copies, cut, found, _ = substring.parsed(table(pasted), "doc_id", "text", 20, 8, True, bits)
+    assert copies.isEmpty()
+    assert {r.doc_id: (r.n_removed, r.sha, r.kept_text) for r in cut.collect()} == {i: v[1:] for (i, _), v in want.items() if v[1]}
+    words = [t.split(" ") for _, t in pasted]
+    for f in found.collect():
+        assert f.length >= 20 and (f.of, f.source) < (f.num, f.start) and f.slice == f.source // substring.BLOCK
+        assert words[f.num][f.start : f.start + f.length] == words[f.of][f.source : f.source + f.length]
+
+
+def test_factors_name_their_source(table, rows):
+    words = {i: split(t) for i, t in rows}
+    got = substring.duplicate_factors(table([x for x in rows if x[0] is not None])).collect()
+    for f in got:
+        assert words[f.doc_id][f.start : f.start + f.n_words] == words[f.source_id][f.source_start : f.source_start + f.n_words]
+    assert {f.doc_id for f in got if f.n_words >= 120 and f.source_id == 0} >= {2, 100}
+
+
 def test_rules_equal_sql_on_odd_texts(spark, table, rows):
     docs = table([(k, t) for k, (_, t) in enumerate(rows)] + [(9001, "a\rb\fc d\x0be"), (9002, "\r\n\f\n \x0b")], clash=False)
     con = duckdb.connect()
@@ -173,4 +230,4 @@ def test_rules_find_junk_and_keep_prose(table, prose):
 def test_empty_tables(table):
     none = table([])
     assert exact.exact_groups(none).count() == minhash.near_classes(none).count() == substring.duplicate_words(none).count() == rules.rule_quality(none).count() == 0
-    assert exact.drop_copies(none).count() == substring.without_duplicates(none).count() == 0
+    assert exact.drop_copies(none).count() == substring.without_duplicates(none).count() == substring.duplicate_factors(none).count() == 0
