@@ -193,10 +193,10 @@ def test_parsing_of_long_texts(table, pasted, monkeypatch, bits, small):
     if not small:
         monkeypatch.setattr(substring, "if_small", lambda df: df)
     want = plain_substring(pasted)
-    _, copies, cut, found, _ = substring.parsed(table(pasted), "doc_id", "text", 20, 8, True, bits)
+    _, copies, cut, found, numbered = substring.parsed(table(pasted), "doc_id", "text", 20, 8, True, bits)
     assert copies.isEmpty()
     assert {r.doc_id: (r.n_removed, r.sha, r.kept_text) for r in cut.collect()} == {i: v[1:] for (i, _), v in want.items() if v[1]}
-    words = [t.split(" ") for _, t in pasted]
+    words = {r.num: pasted[r.doc_id][1].split(" ") for r in numbered.collect()}
     for f in found.collect():
         assert f.length >= 20 and (f.of, f.source) < (f.num, f.start) and f.slice == f.source // substring.BLOCK
         assert words[f.num][f.start : f.start + f.length] == words[f.of][f.source : f.source + f.length]
