@@ -39,8 +39,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = id_text(docs, id_col, text_col).select("doc_id", "text", F.octet_length("text").alias("len"), F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX))).alias("prefix"))
     first = stage(rows.select("len", "prefix"), "exactfirst")
-    lengths = first.groupBy("len").count().where("count > 1").select("len")
-    keys = stage(first.join(lengths, "len", "left_semi").groupBy("len", "prefix").count().where("count > 1").select(F.col("len").alias("k_len"), F.col("prefix").alias("k_prefix"), F.lit(True).alias("again")), "exactkeys")
+    # rows of a hot length stay where they are and are counted there by prefix before they move
+    lengths = stage(first.groupBy("len").count().where("count > 1").select("len"), "exactlengths")
+    keys = stage(first.join(if_small(lengths), "len", "left_semi").groupBy("len", "prefix").count().where("count > 1").select(F.col("len").alias("k_len"), F.col("prefix").alias("k_prefix"), F.lit(True).alias("again")), "exactkeys")
     joined = rows.join(if_small(keys), (F.col("len") == F.col("k_len")) & (F.col("prefix") == F.col("k_prefix")), "left")
     sha = F.sha2(ascii_lower("text"), 256)
     out = [F.col("doc_id"), F.when(F.col("again"), sha).alias("full")] + ([sha.alias("text_sha256")] if digest else [])

@@ -93,7 +93,10 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.component for r in components(edges).collect()} == {k: 1 for k in range(1, 61)} | {99: 99, 100: 99}
 
 
-def test_exact_groups(table, rows):
+@pytest.mark.parametrize("small", [True, False])
+def test_exact_groups(table, rows, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(exact, "if_small", lambda df: df)
     groups = defaultdict(list)
     for i, t in rows:
         groups[(t or "").translate(UPPER)].append(i)
